@@ -2,7 +2,7 @@
 
 Each document gets a hash-random 63-bit key. Keys order a source; their leading bits are buckets, so that the prefix
 sums of sizes are taken in two steps (over the buckets of a source, then inside the one bucket where the budget runs
-out) and no task ever holds a source. The budget of a source then is one position in that order: documents before it
+out); there are about as many buckets as the root of the largest source's rows, so both steps are small. The budget of a source then is one position in that order: documents before it
 get one epoch more than documents after it, and the document at it is cut at the exact word.
 
 Defined cases: null text has size 0; null is a source of its own, ranked last; a repeated row (equal id and text) is
@@ -23,8 +23,6 @@ from lexmill.llm.storage import column_named, shuffle_partitions, written
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Splits a text so that each piece ends with a word, and white space stays in front of it.
 _AFTER_WORD = "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])"
-#: Rows that a bucket of a source holds about, at most.
-BUCKET_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -80,7 +78,7 @@ def plan_mix(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_col="doc_id", tex
     sized = written(sized, "sized")
     sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     rows = sources.agg(F.max("n")).first()[0] or 0
-    bits = max(0, (rows // BUCKET_ROWS).bit_length())
+    bits = (int(rows).bit_length() + 1) // 2
     budget = F.floor(F.col("target") + 0.5).cast("long")
     plan = targets(sources.drop("n"), spec).withColumn("full", F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(0).cast("long"))
     plan = written(plan.withColumn("rest", budget - F.col("full") * F.col("source_size")), "plan")
