@@ -91,8 +91,8 @@ def _compare(threshold: float):
 
         def work(rows: pa.Table) -> pa.RecordBatch:
             rid, times, side, table = (rows.column(c).to_numpy() for c in ("rid", "times", "side", "table"))
-            vectors = _unit(np.stack(rows.column("vector").to_pylist()).astype(np.float32))
-            keys = np.stack(rows.column("keys").to_pylist()).astype(np.int32)[:, : int(table[0])]
+            vectors, keys = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(rid), -1) for c in ("vector", "keys"))
+            vectors, keys = _unit(vectors), keys[:, : int(table[0])]
             left, right = np.flatnonzero(side < 2), np.flatnonzero(side > 0)  # 0: left tile, 2: right tile, 1: both
             forest, n = Forest(len(rid)), np.zeros(len(rid), np.int64)
             for s in range(0, len(left), BLOCK):
@@ -122,7 +122,7 @@ def _compare(threshold: float):
             for s, e in zip(at[:-2].tolist(), at[1:-1].tolist(), strict=True):
                 if e - s > 1:
                     yield work(rows.slice(s, e - s))
-            held = rows.slice(at[-2])
+            held = pa.Table.from_batches(rows.slice(at[-2]).to_batches())
         if held is not None and held.num_rows > 1:
             yield work(held)
 
