@@ -29,7 +29,7 @@ LINE = ["h1", "h2"]
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _order() -> Column:
@@ -37,11 +37,11 @@ def _order() -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text) -> the lines of MIN_WORDS words or more: doc_id, th, idx, words, n, and two hashes that name
-    the words."""
-    rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    """(doc_id, th, text) -> lines long enough to have MIN_WORDS words: doc_id, th, idx, words, n, and two hashes that
+    name the words. Those with fewer words are still among them, as a filter here would split each line twice."""
+    rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(F.length("line") >= 2 * MIN_WORDS - 1)
     rows = rows.select("doc_id", "th", "idx", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    return rows.where(F.col("n") >= MIN_WORDS).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+    return rows.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
 def _halves() -> list[Column]:
@@ -73,7 +73,7 @@ def _without(words: Column, pos: Column) -> Column:
 def duplicates(docs: DataFrame, *, near: bool = True) -> DataFrame:
     """(doc_id, th, text) -> (doc_id, th, idx) of the lines that go."""
     every = lines(docs)
-    table = written(every.select("doc_id", "th", "idx", "n", *LINE, *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines")
+    table = written(every.select("doc_id", "th", "idx", "n", *LINE, *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines").where(F.col("n") >= MIN_WORDS)
     distinct = table.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.any_value("n").alias("n"), *[F.any_value(f"k{i}").alias(f"k{i}") for i in range(4)])
     distinct = written(distinct, "distinct")
     later = distinct.select(*LINE, F.col("ord").alias("first"))
@@ -95,7 +95,7 @@ def duplicates(docs: DataFrame, *, near: bool = True) -> DataFrame:
 
     keys = written(_variants(texts), "variants")
     met = keys.groupBy("key", "m").agg(F.min(F.when(F.col("pos") < 0, F.col("ord"))).alias("whole"), F.count("*").alias("c")).where("c > 1")
-    keys = keys.join(met.drop("c"), ["key", "m"])
+    keys = written(keys.join(met.drop("c"), ["key", "m"]), "met")
     # replaced word: the earliest line that lacks a word at the same place; missing word: the earliest with one more
     group = keys.groupBy("key", "m", "pos").agg(F.min(F.struct("ord", *LINE)).alias("least"))
     spare = group.where("pos >= 0").groupBy("key", "m").agg(F.min(F.struct("least", "pos")).alias("longer"))
