@@ -1,11 +1,455 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine over the whole test tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexmill.functions import rules as R
+from lexmill.functions import text as T
+from lexmill.operators import candidates as C
+from lexmill.operators import corpus as K
+from lexmill.operators import engine as E
+from lexmill.operators import errors as X
+from lexmill.operators import evaluation as V
+from lexmill.operators import lexicon as L
+from lexmill.operators import lm as M
+from lexmill.plans import oracle
+from lexmill.profile import BOS, EOS
+from lexmill.sources.demo import corpus
+from lexmill.streaming.check import check_stream
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counts = L.word_counts(corpus(spark, sf_dir))
+    lexicon = L.build_lexicon(counts)
+    return counts, lexicon, L.find_shadows(lexicon)
+
+
+def _sentences(spark, sf_dir) -> DataFrame:
+    return K.line_rows(corpus(spark, sf_dir))
+
+
+@query
+def tokenize_offsets(spark, sf_dir):
+    return K.token_rows(corpus(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "piece", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "kind")
+
+
+@query
+def token_kinds(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select("source", F.explode(T.tokens(F.col("text"))).alias("t"))
+    return rows.groupBy("source", T.kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def normalize_text(spark, sf_dir):
+    """On texts with a foreign letter and an invisible one put in."""
+    spoilt = F.replace(F.replace("text", F.lit("ө"), F.lit("ѳ")), F.lit("а"), F.lit("а\u00ad"))
+    return corpus(spark, sf_dir).select("doc_id", T.fix_confusables(T.strip_invisible(spoilt)).alias("text"))
+
+
+@query
+def nfc(spark, sf_dir):
+    """On texts with a composed letter taken apart."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", T.nfc(F.replace("text", F.lit("é"), F.lit("e\u0301"))).alias("text"))
+
+
+@query
+def mixed_script(spark, sf_dir):
+    """On texts in which a Latin look-alike was put into words."""
+    spoilt = F.replace("text", F.lit("ос"), F.lit("оc"))
+    return corpus(spark, sf_dir).select("doc_id", T.normalize(spoilt, mixed_script="run").alias("text"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    return K.sentence_rows(corpus(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query
+def sentence_filter(spark, sf_dir):
+    return K.filter_sentences(_sentences(spark, sf_dir)).select("doc_id", "source", F.col("sent_idx").cast("long").alias("sent_idx"), "text")
+
+
+@query
+def sentence_dedup(spark, sf_dir):
+    return K.dedup_sentences(_sentences(spark, sf_dir)).select("doc_id", "source", F.col("sent_idx").cast("long").alias("sent_idx"), "text")
+
+
+@query
+def corpus_counters(spark, sf_dir):
+    raw = _sentences(spark, sf_dir)
+    kept = K.filter_sentences(raw)
+    return K.corpus_counters(raw, kept, K.dedup_sentences(kept))
+
+
+@query
+def letter_shares(spark, sf_dir):
+    t = F.col("text")
+    share = lambda x: F.round(x, 6)
+    return corpus(spark, sf_dir).select("doc_id", share(T.letter_share(t, oracle.P.alphabet)).alias("alphabet"), share(T.letter_share(t, oracle.P.special)).alias("special"), share(T.clean_share(t)).alias("clean"))
+
+
+@query
+def char_inventory(spark, sf_dir):
+    return K.char_inventory(corpus(spark, sf_dir)).select("source", "ch", "n", F.round("share", 9).alias("share"), F.col("in_alphabet").cast("long").alias("in_alphabet"))
+
+
+@query
+def char_names(spark, sf_dir):
+    return K.char_names(K.char_inventory(corpus(spark, sf_dir)))
+
+
+@query
+def char_vocabulary(spark, sf_dir):
+    return K.char_vocabulary(corpus(spark, sf_dir), 5).select("ch", "n", F.col("id").cast("long").alias("id"))
+
+
+@query
+def source_profile(spark, sf_dir):
+    out = K.source_profile(corpus(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in ("special_share", "foreign_letter_share")})
+
+
+@query
+def lexicon_build(spark, sf_dir):
+    return _lexicon(spark, sf_dir)[1]
+
+
+@query
+def lexicon_summary(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return L.lexicon_summary(counts, lexicon).withColumn("core_share", F.round("core_share", 9))
+
+
+@query
+def only_other(spark, sf_dir):
+    return _lexicon(spark, sf_dir)[1].where("kind = 'other'").select("form", "freq_other")
+
+
+@query
+def heldout_split(spark, sf_dir):
+    return L.heldout(_sentences(spark, sf_dir)).select("doc_id", "source", F.col("sent_idx").cast("long").alias("sent_idx"))
+
+
+@query
+def shadows(spark, sf_dir):
+    return _lexicon(spark, sf_dir)[2].withColumns({"ratio": F.round("ratio", 6), "demote": F.col("demote").cast("long")}).withColumnRenamed("where", "found_in")
+
+
+@query
+def active_core(spark, sf_dir):
+    _, lexicon, dark = _lexicon(spark, sf_dir)
+    return L.active(lexicon, dark).where("kind = 'core'").select("form", "freq")
+
+
+@query
+def verdicts(spark, sf_dir):
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    return L.verdicts(counts.select("form"), lexicon, dark)
+
+
+@query
+def verdicts_with_grammar(spark, sf_dir):
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    return L.verdicts(counts.select("form"), lexicon, dark, use_grammar=True)
+
+
+@query
+def hyphen_parts(spark, sf_dir):
+    """Every form doubled with a hyphen: accepted if the form is."""
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    return L.verdicts(counts.select(F.concat("form", F.lit("-"), "form").alias("form")), lexicon, dark)
+
+
+@query
+def coverage(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return L.coverage(counts, lexicon).withColumn("miss_share", F.round("miss_share", 9))
+
+
+@query
+def top_missing(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return L.top_missing(counts, lexicon)
+
+
+@query
+def unknown_by_tier(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return L.unknown_by_tier(counts, lexicon)
+
+
+@query
+def acceptor_ablation(spark, sf_dir):
+    return L.acceptor_ablation(*_lexicon(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query
+def denormalize(spark, sf_dir):
+    t = F.col("clean")
+    return corpus(spark, sf_dir).select("doc_id", T.denormalize(t, "ru").alias("ru"), T.denormalize(t, "lat").alias("lat"), T.denormalize(t, "ru", digraph=True).alias("ng"))
+
+
+@query
+def restore_join(spark, sf_dir):
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    bad = L.verdicts(counts.select("form"), lexicon, dark).where("not ok").select(F.col("form").alias("word"))
+    out = C.restore_candidates(bad, L.active(lexicon, dark).where("kind = 'core'"))
+    return out.withColumn("cost", F.col("cost").cast("long"))
+
+
+@query
+def restore_variants(spark, sf_dir):
+    """Of forms with at most four ambiguous letters."""
+    forms = _lexicon(spark, sf_dir)[1].select("form")
+    v = C.restoration_variants(F.col("form"), most=16)
+    return forms.select("form", F.array_join(v, " ").alias("variants")).where("variants is not null")
+
+
+def _rule(name: str) -> Query:
+    def run(spark, sf_dir):
+        forms = _lexicon(spark, sf_dir)[1].select("form")
+        return forms.select("form", (F.size(R.RULES[name](F.col("form"))) > 0).alias("hit"))
+
+    return run
+
+
+for _name in R.ALL:
+    _QUERIES[f"rule_{_name}"] = _rule(_name)
+
+
+@query
+def rule_agreement(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return L.rule_agreement(counts, lexicon).withColumns({c: F.round(c, 9) for c in ("types_share", "tokens_share")})
+
+
+@query
+def lm_unigrams(spark, sf_dir):
+    return M.unigrams(_sentences(spark, sf_dir))
+
+
+@query
+def lm_bigrams(spark, sf_dir):
+    lexicon = _lexicon(spark, sf_dir)[1]
+    return M.bigrams(_sentences(spark, sf_dir), lexicon.where("kind = 'core'"), 3)
+
+
+def _context_rows(spark, sf_dir) -> DataFrame:
+    low = F.concat(F.array(F.lit(BOS)), F.transform(T.words(F.col("text")), F.lower), F.array(F.lit(EOS)))
+    rows = corpus(spark, sf_dir).select("doc_id", low.alias("w")).where(F.size("w") > 2)
+    triple = F.transform(F.slice("w", F.lit(2), F.size("w") - 2), lambda x, i: F.struct(F.get("w", i).alias("left"), x.alias("word"), F.get("w", i + 2).alias("right")))
+    return rows.select("doc_id", F.posexplode(triple).alias("word_idx", "t")).select("doc_id", F.col("word_idx").cast("long").alias("word_idx"), "t.left", "t.word", "t.right")
+
+
+@query
+def context_neighbours(spark, sf_dir):
+    return _context_rows(spark, sf_dir).withColumnsRenamed({"left": "w_left", "right": "w_right"})
+
+
+@query
+def lm_scores(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    lexicon = _lexicon(spark, sf_dir)[1]
+    rows = _context_rows(spark, sf_dir).select("left", "word", "right").distinct()
+    out = M.scored(rows, M.unigrams(s), M.bigrams(s, lexicon.where("kind = 'core'"), 3))
+    return out.select(F.col("left").alias("w_left"), "word", F.col("right").alias("w_right"), F.round("context", 6).alias("context"))
+
+
+@query
+def lm_size(spark, sf_dir):
+    s = _sentences(spark, sf_dir)
+    return M.size(M.unigrams(s), M.bigrams(s))
+
+
+def _engine(spark, sf_dir, **options) -> E.Engine:
+    return E.build(corpus(spark, sf_dir), **options)
+
+
+@query
+def fuzzy_join(spark, sf_dir):
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    bad = L.verdicts(counts.select("form"), lexicon, dark).where("not ok").select(F.col("form").alias("word"))
+    return C.edit_candidates(bad, L.active(lexicon, dark).where("kind = 'core'"))
+
+
+@query
+def error_pairs(spark, sf_dir):
+    counts, lexicon, _ = _lexicon(spark, sf_dir)
+    return C.mine_errors(L.unknown_by_tier(counts, lexicon), lexicon.where("kind = 'core'"))
+
+
+@query
+def suggest_top5(spark, sf_dir):
+    engine = _engine(spark, sf_dir, with_model=False)
+    bad = engine.spell(L.word_counts(corpus(spark, sf_dir)).select(F.col("form").alias("word"))).where("not ok").select(F.col("form").alias("word"))
+    return engine.suggest(bad)
+
+
+@query
+def check_issues(spark, sf_dir):
+    out = _engine(spark, sf_dir).check(corpus(spark, sf_dir))
+    return out.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "before", "reason", F.array_join(F.transform("suggestions", lambda s: s["form"]), " ").alias("suggestions"))
+
+
+@query
+def correct_text(spark, sf_dir):
+    return _engine(spark, sf_dir).correct(corpus(spark, sf_dir))
+
+
+def _restorer(spark, sf_dir) -> E.Engine:
+    return _engine(spark, sf_dir, with_model=False, fuzzy=False, grammar=False)
+
+
+@query
+def correct_restore_only(spark, sf_dir):
+    return _restorer(spark, sf_dir).correct(corpus(spark, sf_dir))
+
+
+@query
+def restore_corrections(spark, sf_dir):
+    out = _restorer(spark, sf_dir).corrections(corpus(spark, sf_dir))
+    return out.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "before", "after", "source", F.array_join("alternatives", " ").alias("alternatives"))
+
+
+@query
+def clean_references(spark, sf_dir):
+    return _restorer(spark, sf_dir).clean(corpus(spark, sf_dir))
+
+
+def _bench(spark, sf_dir) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    return docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "denorm_full").otherwise("clean").alias("task"), F.col("text").alias("src"), F.col("clean").alias("tgt"))
+
+
+@query
+def bench_denorm_full(spark, sf_dir):
+    return V.word_pairs(_bench(spark, sf_dir)).groupBy("id", "task").agg(F.count("*").alias("words"), F.count_if(F.col("before") != F.col("after")).alias("n_edits"))
+
+
+@query
+def bench_tasks(spark, sf_dir):
+    """Seeded corruption of every document, by task."""
+    docs = corpus(spark, sf_dir)
+    out = None
+    for task in ("denorm_mixed", "typo", "mixed"):
+        rows = docs.select("doc_id", F.lit(task).alias("task"), X.corrupted(F.col("doc_id"), F.col("clean"), task).alias("src"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def diff_words(spark, sf_dir):
+    rows = _bench(spark, sf_dir).select("id", F.inline(X.diff_words(F.col("src"), F.col("tgt"))))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), "before", "after")
+
+
+def _issues(spark, sf_dir) -> DataFrame:
+    found = _restorer(spark, sf_dir).check(corpus(spark, sf_dir))
+    task = F.when(F.col("doc_id") % 10 == 0, "denorm_full").otherwise("clean")
+    return found.select(F.col("doc_id").alias("id"), task.alias("task"), "word_idx", F.get("suggestions", F.lit(0))["form"].alias("suggestion"))
+
+
+@query
+def bench_metrics(spark, sf_dir):
+    out = V.metrics(V.word_pairs(_bench(spark, sf_dir)), _issues(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "detection_recall", "fpr")})
+
+
+@query
+def pipeline_metrics(spark, sf_dir):
+    """Only flags with a suggestion count."""
+    out = V.metrics(V.word_pairs(_bench(spark, sf_dir)), _issues(spark, sf_dir), flag="suggested")
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "detection_recall", "fpr")})
+
+
+@query
+def ceiling(spark, sf_dir):
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    return V.ceiling(V.word_pairs(_bench(spark, sf_dir)), L.verdicts(counts.select("form"), lexicon, dark)).withColumn("share", F.round("share", 9))
+
+
+@query
+def rule_catches(spark, sf_dir):
+    return V.rule_catches(V.word_pairs(_bench(spark, sf_dir)))
+
+
+@query
+def wer(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select(F.col("source").alias("file"), F.col("clean").alias("ref"), F.col("text").alias("hyp"))
+    return V.wer(rows).withColumn("wer", F.round("wer", 9))
+
+
+@query
+def userdict_verdict(spark, sf_dir):
+    """A user who knows the 200 most frequent forms that the lexicon rejects by spelling, and their doubled compounds."""
+    counts, lexicon, dark = _lexicon(spark, sf_dir)
+    judged = L.verdicts(counts.select("form"), lexicon, dark)
+    own = counts.join(judged.where("not ok").select("form"), "form", "left_semi").groupBy("form").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "form").limit(200).select("form")
+    asked = counts.select("form").distinct()
+    asked = asked.unionByName(own.select(F.concat("form", F.lit("-"), "form").alias("form")))
+    none = spark.createDataFrame([], "form string, replacement string")
+    return E.user_accepted(asked, own, none, judged)
+
+
+@query
+def apply_tags(spark, sf_dir):
+    """Every о, у and г restored by tags."""
+    docs = corpus(spark, sf_dir).where("doc_id % 10 = 0")
+    special = oracle.P.special
+    tags = F.transform(F.split("text", ""), lambda c: F.when(F.lower(c) == "о", special.index("ө") + 1).when(F.lower(c) == "у", special.index("ү") + 1).when(F.lower(c) == "г", special.index("ҕ") + 1).when(c == "ь", 6).otherwise(0))
+    return docs.select("doc_id", X.apply_tags(F.col("text"), tags).alias("text"))
+
+
+@query
+def make_tags(spark, sf_dir):
+    """Tags that lead from the spoilt text back, as text; applied, they give it again."""
+    docs = corpus(spark, sf_dir).where("doc_id % 10 = 0").withColumn("tags", X.make_tags(F.col("text"), F.col("clean")))
+    return docs.select("doc_id", F.array_join(F.col("tags").cast("array<string>"), "").alias("tags"), (X.apply_tags(F.col("text"), F.col("tags")) == F.col("clean")).alias("same"))
+
+
+@query
+def front_coding(spark, sf_dir):
+    forms = _lexicon(spark, sf_dir)[1].where("kind = 'core'").select("form")
+    return L.front_coded(forms).select("form", F.col("prefix").cast("long").alias("prefix"), "tail")
+
+
+@query
+def freq_quantise(spark, sf_dir):
+    rows = _lexicon(spark, sf_dir)[1].where("kind = 'core'").select("form", L.quantised(F.col("freq")).cast("long").alias("code"))
+    return rows.withColumn("freq", F.round(L.dequantised(F.col("code")), 6))
+
+
+@query
+def stream_check(spark, sf_dir):
+    """The documents as a stream, corrected batch by batch into a table."""
+    from lexmill.sources.shared import scratch
+
+    where = scratch(spark, "stream")
+    engine = _restorer(spark, sf_dir)
+    batch = corpus(spark, sf_dir).select("doc_id", "text")
+    batch.write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{where}/in")
+    check_stream(stream, engine, lambda df, n: df.write.mode("overwrite").parquet(f"{where}/out/batch={n}"), f"{where}/log", once=True).awaitTermination()
+    out = spark.read.parquet(f"{where}/out")
+    return out.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "before", "after", "source", F.array_join("alternatives", " ").alias("alternatives"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
