@@ -87,10 +87,9 @@ def duplicates(docs: DataFrame, *, near: bool = True) -> DataFrame:
 
     # texts of the lines that can have a partner, from the document that has each first
     of = able.select(F.col("ord.doc_id").alias("of_id"), F.col("ord.th").alias("of_th"), F.col("ord.idx").alias("of_idx"), *LINE, "ord", "n")
-    at = of.groupBy("of_id", "of_th").agg(F.collect_list(F.struct("of_idx", *LINE, "ord", "n")).alias("at"))
-    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
-    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    texts = texts.select("at.h1", "at.h2", "at.ord", "at.n", _words(F.get("lines", F.col("at.of_idx"))).alias("words"))
+    each = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(F.length("line") >= 2 * MIN_WORDS - 1)
+    texts = each.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")) & (F.col("idx") == F.col("of_idx")))
+    texts = texts.select(*LINE, "ord", "n", _words(F.col("line")).alias("words"))
     texts = written(texts.dropDuplicates(LINE), "texts")
 
     keys = written(_variants(texts), "variants")
@@ -131,7 +130,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = [f"c{k}" for k in range(len(docs.columns))]
     id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     both = docs.toDF(*names).withColumn("th", F.xxhash64(text)).join(gone, id_.eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
-    both = both.withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(_kept_text(F.split(text, "\n"), F.col("gone"))))
+    # a column of its own, as within the function below it would be split again for each line
+    both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    both = both.withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(_kept_text(F.col("lines"), F.col("gone"))))
     both = both.where(F.col("gone").isNull() | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
     return both.select(*[(F.col("kept") if c == text_col else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
