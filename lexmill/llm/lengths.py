@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe import count_tokens
+from lexmill.llm.storage import written
 
 RANGE = 1024
 
@@ -22,7 +23,9 @@ RANGE = 1024
 def length_histogram(docs: DataFrame, *, text_col: str = "text", group_col: str = "source", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """group, length, n: how many documents of the group have the length in tokens."""
     rows = docs.select(docs[group_col].alias("group"), docs[text_col].alias("text"))
-    return count_tokens(rows, path=path, pattern=pattern).groupBy("group", F.col("n_tokens").alias("length")).agg(F.count("*").alias("n"))
+    counted = count_tokens(rows, path=path, pattern=pattern).groupBy("group", F.col("n_tokens").alias("length")).agg(F.count("*").alias("n"))
+    # written, as all that reads it twice would encode twice
+    return written(counted, "histogram")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
