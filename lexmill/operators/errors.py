@@ -144,9 +144,11 @@ def diff_words(src: Column, tgt: Column, profile: LanguageProfile = YAKUT) -> Co
 def apply_tags(text: Column, tags: Column, profile: LanguageProfile = YAKUT) -> Column:
     """Tag 0 keeps a letter, 6 deletes it, 1 to 5 put the profile's special letters in its case; the rest is copied."""
     special = F.array(*[F.lit(c) for c in profile.special])
-    chars = F.split(text, "")
-    new = F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(tags, i), F.lit(KEEP)) == KEEP, c).when(F.get(tags, i) == DELETE, "").otherwise(F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(F.get(special, F.get(tags, i) - 1))).otherwise(F.get(special, F.get(tags, i) - 1))))
-    return F.array_join(new, "")
+    def one(c, t):
+        new = F.get(special, t - 1)
+        return F.when(c.isNull() | (t == DELETE), "").when(t.isNull() | (t == KEEP), c).when((c == F.upper(c)) & (c != F.lower(c)), F.upper(new)).otherwise(new)
+
+    return F.array_join(F.zip_with(F.split(text, ""), tags, one), "")
 
 
 def tags_of(src: str, tgt: str, profile: LanguageProfile = YAKUT) -> list[int] | None:
