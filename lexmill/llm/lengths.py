@@ -46,15 +46,13 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """group, limit, tokens_cut, docs_over for any limits, also those that no document has as its length."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(x,) for x in limits], "limit long")
-    n_docs = F.max("n_docs")
-    # of the lengths up to the limit the largest: beyond it only its docs_over documents go on
-    last = sums.join(F.broadcast(wanted), F.col("length") <= F.col("limit"), "right").groupBy("group", "limit").agg(F.max_by(F.struct("docs_over", "tokens_cut", "length"), "length").alias("at"))
-    first = sums.groupBy("group").agg(n_docs.alias("all_docs")).crossJoin(F.broadcast(wanted))
-    both = first.withColumnsRenamed({"group": "g", "limit": "l"}).join(last, F.col("g").eqNullSafe(F.col("group")) & (F.col("l") == F.col("limit")), "left")
-    over = F.coalesce("at.docs_over", "all_docs")
-    return both.select(F.col("g").alias("group"), F.col("l").alias("limit"), F.coalesce(F.col("at.tokens_cut") + over * (F.col("l") - F.col("at.length")), over * F.col("l")).alias("tokens_cut"), over.alias("docs_over"))
+    # of the lengths up to a limit the largest: beyond it only its docs_over documents go on
+    within = lambda x: F.max_by(F.struct("docs_over", "tokens_cut", "length"), F.when(F.col("length") <= x, F.col("length")))
+    picked = F.array(*[F.struct(F.lit(x).cast("long").alias("limit"), within(x).alias("at")) for x in limits])
+    rows = sums.groupBy("group").agg(F.max("n_docs").alias("n_docs"), picked.alias("p")).select("group", "n_docs", F.explode("p").alias("p"))
+    over, limit = F.coalesce("p.at.docs_over", "n_docs"), F.col("p.limit")
+    cut = F.coalesce(F.col("p.at.tokens_cut") + over * (limit - F.col("p.at.length")), over * limit)
+    return rows.select("group", limit.alias("limit"), cut.alias("tokens_cut"), over.alias("docs_over"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

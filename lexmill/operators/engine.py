@@ -18,6 +18,7 @@ from lexmill.operators import lexicon as X
 from lexmill.operators import lm as L
 from lexmill.operators.errors import diff_words
 from lexmill.profile import BOS, EOS, GRAMMAR_PENALTY, YAKUT, LanguageProfile
+from lexmill.sources.shared import written
 
 
 @dataclass
@@ -116,12 +117,13 @@ class Engine:
             forced = replace.select(F.col("form").alias("word"), F.col("replacement").alias("r"))
             verdicts = verdicts.join(fine, "word", "left_anti").join(forced, "word", "left")
             verdicts = verdicts.select("word", F.when(F.col("r").isNotNull(), "userdict").otherwise(F.col("reason")).alias("reason"), F.col("r").alias("replacement"))
-        return words.join(verdicts.where("reason is not null"), "word")
+        return words.join(written(verdicts.where("reason is not null"), "rejected"), "word")
 
     def suggestions(self, issues: DataFrame) -> DataFrame:
         """Issues with their best candidates: form in the word's case, cost, freq, kind, score, rank."""
         asked = issues.where("replacement is null")
         found = C.candidates(asked.select("word"), self.core, self.shadows, fuzzy=self.fuzzy, grammar=self.grammar, out_of_lexicon=self.out_of_lexicon, penalty=self.grammar_penalty if self.grammar else 0, profile=self.profile)
+        found = written(found, "candidates")
         keys = ["doc_id", "pos", "piece", "word", "left", "right"]
         rows = C.suggest(asked.select(*keys), found, self.model, self.max_suggestions)
         rows = rows.select("doc_id", "pos", "piece", "form", "cost", "freq", "kind", "score", "rank")
@@ -187,10 +189,9 @@ class Engine:
 
 
 def build(docs: DataFrame, profile: LanguageProfile = YAKUT, with_model: bool = True, **options) -> Engine:
-    """An engine from documents (doc_id, source, tier, text)."""
-    counts = X.word_counts(docs, profile)
-    lexicon = X.build_lexicon(counts)
+    """An engine from documents (doc_id, source, tier, text). Its tables are written once, as each check reads them often."""
+    lexicon = written(X.build_lexicon(X.word_counts(docs, profile)), "lexicon")
     model = None
     if with_model:
-        model = (L.unigrams(docs, profile), L.bigrams(docs, lexicon.where("kind = 'core'"), 3, profile))
-    return Engine(lexicon, X.find_shadows(lexicon, profile), model, profile=profile, **options)
+        model = (written(L.unigrams(docs, profile), "unigrams"), written(L.bigrams(docs, lexicon.where("kind = 'core'"), 3, profile), "bigrams"))
+    return Engine(lexicon, written(X.find_shadows(lexicon, profile), "shadows"), model, profile=profile, **options)

@@ -19,6 +19,7 @@ from lexmill.operators import lm as M
 from lexmill.plans import oracle
 from lexmill.profile import BOS, EOS
 from lexmill.sources.demo import corpus
+from lexmill.sources.shared import scratch, written
 from lexmill.streaming.check import check_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,9 +32,10 @@ def query(f: Query) -> Query:
 
 
 def _lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counts = L.word_counts(corpus(spark, sf_dir))
-    lexicon = L.build_lexicon(counts)
-    return counts, lexicon, L.find_shadows(lexicon)
+    """Counts, lexicon and shadows. What all else reads several times is written once."""
+    counts = written(L.word_counts(corpus(spark, sf_dir)), "counts")
+    lexicon = written(L.build_lexicon(counts), "lexicon")
+    return counts, lexicon, written(L.find_shadows(lexicon), "shadows")
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
@@ -124,7 +126,7 @@ def source_profile(spark, sf_dir):
 
 @query
 def lexicon_build(spark, sf_dir):
-    return _lexicon(spark, sf_dir)[1]
+    return L.build_lexicon(L.word_counts(corpus(spark, sf_dir)))
 
 
 @query
@@ -435,8 +437,6 @@ def freq_quantise(spark, sf_dir):
 @query
 def stream_check(spark, sf_dir):
     """The documents as a stream, corrected batch by batch into a table."""
-    from lexmill.sources.shared import scratch
-
     where = scratch(spark, "stream")
     engine = _restorer(spark, sf_dir)
     batch = corpus(spark, sf_dir).select("doc_id", "text")
