@@ -29,6 +29,15 @@ def _tables(cheap: str, keyboard: tuple[str, ...]) -> tuple[dict[str, int], np.n
     return letters, costs
 
 
+@lru_cache(maxsize=8)
+def _rows(cheap: str, keyboard: tuple[str, ...]) -> np.ndarray:
+    """Row of each code point in the costs."""
+    letters = _tables(cheap, keyboard)[0]
+    out = np.full(0x110000, len(letters), np.int16)
+    out[[ord(c) for c in letters]] = list(letters.values())
+    return out
+
+
 def substitution(a: str, b: str, profile: LanguageProfile = YAKUT) -> int:
     letters, costs = _tables(profile.cheap, profile.keyboard)
     return 0 if a == b else int(costs[letters.get(a, -1), letters.get(b, -1)])
@@ -54,13 +63,12 @@ def distance(a: str, b: str, profile: LanguageProfile = YAKUT) -> int:
 def distances(a: list[str], b: list[str], profile: LanguageProfile = YAKUT) -> np.ndarray:
     """Costs of many pairs at once: one table for each pair of lengths, in which every cell is a vector over pairs."""
     letters, costs = _tables(profile.cheap, profile.keyboard)
+    row_of = _rows(profile.cheap, profile.keyboard)
     out = np.zeros(len(a), np.int64)
     shape = pd.DataFrame({"m": [len(x) for x in a], "n": [len(x) for x in b]}).groupby(["m", "n"]).indices
     for (m, n), rows in shape.items():
-        x = np.array([[ord(c) for c in a[r]] for r in rows]).reshape(len(rows), m)
-        y = np.array([[ord(c) for c in b[r]] for r in rows]).reshape(len(rows), n)
-        code = np.vectorize(lambda c: letters.get(chr(c), len(letters)), otypes=[np.int64])
-        kx, ky = code(x) if m else x, code(y) if n else y
+        x, y = (np.frombuffer("".join([s[r] for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), k) for s, k in ((a, m), (b, n)))
+        kx, ky = row_of[x], row_of[y]
         before: list[np.ndarray] = []
         last = [np.full(len(rows), BASE_COST * j) for j in range(n + 1)]
         for i in range(1, m + 1):
