@@ -210,7 +210,7 @@ SQL = {
     "ceiling": _sql("verdict pair", f"SELECT task, count(*) AS wrong, count(*) FILTER (ok) AS accepted, {_LESS('count(*) FILTER (ok) / count(*)')} AS share FROM pair JOIN verdict ON form = lower(before) WHERE lower(before) <> lower(after) GROUP BY task"),
     "rule_catches": _sql("pair", " UNION ALL ".join(f"SELECT task, '{k}' AS rule, CAST(coalesce(sum(n) FILTER (gold AND ({RULE[k]})), 0) AS BIGINT) AS caught, CAST(coalesce(sum(n) FILTER (NOT gold AND ({RULE[k]})), 0) AS BIGINT) AS cost FROM seen GROUP BY task" for k in R.ALL), "seen AS (SELECT task, lower(before) AS form, lower(before) <> lower(after) AS gold, count(*) AS n FROM pair GROUP BY ALL)"),
     "userdict_verdict": _sql("verdict", "SELECT DISTINCT form FROM (SELECT form FROM asked WHERE form IN (SELECT form FROM own) UNION ALL SELECT whole FROM (SELECT whole, bool_or(o.form IS NOT NULL) AS any_mine, bool_and(o.form IS NOT NULL OR coalesce(v.ok, false)) AS all_ok FROM (SELECT form AS whole, unnest(list_filter(string_split(form, '-'), lambda p: p <> '')) AS form FROM asked WHERE len(list_filter(string_split(form, '-'), lambda p: p <> '')) > 1) x LEFT JOIN own o ON o.form = x.form LEFT JOIN verdict v ON v.form = x.form GROUP BY whole) WHERE any_mine AND all_ok)", "own AS (SELECT form FROM counts JOIN verdict USING (form) WHERE NOT ok GROUP BY form ORDER BY sum(n) DESC, form LIMIT 200)", "asked AS (SELECT DISTINCT form FROM counts UNION SELECT form || '-' || form FROM own)"),
-    "apply_tags": _sql("doc", "SELECT doc_id, replace(translate(text, 'оугОУГ', 'өүҕӨҮҔ'), 'ь', '') AS text FROM doc WHERE doc_id % 10 = 0"),
+    "apply_tags": _sql("doc", "SELECT doc_id, replace(translate(text, 'оугОУГ', 'өүҕӨҮҔ'), 'ь', '') AS text FROM doc"),
     "front_coding": _sql("lexicon", "SELECT form, n AS prefix, substr(form, n + 1) AS tail FROM (SELECT form, list_max(list_filter(range(0, least(length(form), length(prev), 40) + 1), lambda i: left(form, i) = left(prev, i))) AS n FROM (SELECT form, coalesce(lag(form) OVER (PARTITION BY left(form, 1) ORDER BY form), '') AS prev FROM lexicon WHERE kind = 'core'))"),
     "freq_quantise": _sql("lexicon", "SELECT form, code, round(pow(2.0, code / 16), 6) AS freq FROM (SELECT form, CAST(least(255, floor(log2(freq + 1) * 16)) AS BIGINT) AS code FROM lexicon WHERE kind = 'core')"),
     "corpus_counters": _sql("sentence", "SELECT s.source, count(*) AS seen, count(k.text) AS kept, count(*) FILTER (k.rn = 1) AS uniq FROM sentence s LEFT JOIN numbered k ON k.doc_id = s.doc_id AND k.sent_idx = s.sent_idx GROUP BY s.source", f"kept AS ({_KEPT})", "numbered AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, sent_idx) AS rn FROM kept)"),
