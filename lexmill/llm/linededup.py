@@ -9,8 +9,9 @@ Only lines that can have a partner emit their variants: one edit leaves the firs
 so a line that shares neither of its halves with another line has none. This loses no pair, and saves most keys.
 
 A line is dropped if an earlier line is its copy, be that line dropped itself or not. Earlier means: by document id (null
-last), then by a hash of the text, then by place. Lines under `MIN_WORDS` words always stay: a single word is too large a
-part of them.
+last), then by a hash of the text, then by place. Lines under `MIN_WORDS` words have no near copies: a single word is too
+large a part of them. Exact copies go from `exact_words` words on: the pipeline takes every line that has a word, op6 and
+its SQL take `MIN_WORDS`.
 
 Defined cases: null text stays null; an empty text stays; a document of which all words went is dropped, as all of it is
 kept elsewhere; repeated rows (equal id and text) are one document, and all its rows stay and get the same text; an empty
@@ -36,10 +37,10 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "idx")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text) -> lines long enough to have MIN_WORDS words: doc_id, th, idx, words, n, and two hashes that
+def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, text) -> lines long enough to have `least` words: doc_id, th, idx, words, n, and two hashes that
     name the words. Those with fewer words are still among them, as a filter here would split each line twice."""
-    rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(F.length("line") >= 2 * MIN_WORDS - 1)
+    rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(F.length("line") >= 2 * least - 1)
     rows = rows.select("doc_id", "th", "idx", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
     return rows.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
@@ -70,17 +71,17 @@ def _without(words: Column, pos: Column) -> Column:
     return F.when(pos < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), pos), F.slice(words, pos + 2, F.size(words))))
 
 
-def duplicates(docs: DataFrame, *, near: bool = True) -> DataFrame:
+def duplicates(docs: DataFrame, *, near: bool = True, exact_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, text) -> (doc_id, th, idx) of the lines that go."""
-    every = lines(docs)
-    table = written(every.select("doc_id", "th", "idx", "n", *LINE, *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines").where(F.col("n") >= MIN_WORDS)
+    every = lines(docs, exact_words)
+    table = written(every.select("doc_id", "th", "idx", "n", *LINE, *[k.alias(f"k{i}") for i, k in enumerate(_halves())]), "lines").where(F.col("n") >= exact_words)
     distinct = table.groupBy(*LINE).agg(F.min(_order()).alias("ord"), F.any_value("n").alias("n"), *[F.any_value(f"k{i}").alias(f"k{i}") for i in range(4)])
     distinct = written(distinct, "distinct")
     later = distinct.select(*LINE, F.col("ord").alias("first"))
     exact = table.join(later, LINE).where(_order() > F.col("first")).select("doc_id", "th", "idx")
     if not near:
         return exact
-    halves = distinct.select(*LINE, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
+    halves = distinct.where(F.col("n") >= MIN_WORDS).select(*LINE, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     able = halves.join(shared, "k", "left_semi").select(*LINE).distinct()
     able = written(distinct.join(able, LINE).select(*LINE, "ord", "n"), "able")
@@ -114,8 +115,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
 
 
-def _dropped_places(docs: DataFrame, near: bool) -> DataFrame:
-    gone = duplicates(docs, near=near)
+def _dropped_places(docs: DataFrame, near: bool, exact_words: int) -> DataFrame:
+    gone = duplicates(docs, near=near, exact_words=exact_words)
     return gone.groupBy(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")).agg(F.sort_array(F.collect_list("idx")).alias("gone"))
 
 
@@ -124,9 +125,9 @@ def _kept_text(lines_: Column, gone: Column) -> Column:
     return F.array_join(F.transform(places, lambda i: F.get(lines_, i)), "\n")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: bool = True, exact_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that an earlier line copies taken out of the texts."""
-    gone = _dropped_places(_keyed(docs, id_col, text_col), near)
+    gone = _dropped_places(_keyed(docs, id_col, text_col), near, exact_words)
     names = [f"c{k}" for k in range(len(docs.columns))]
     id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     both = docs.toDF(*names).withColumn("th", F.xxhash64(text)).join(gone, id_.eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
@@ -137,10 +138,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return both.select(*[(F.col("kept") if c == text_col else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: bool = True, exact_words: int = MIN_WORDS) -> DataFrame:
     """For each document doc_id, n_lines, n_dropped, and the places of the dropped lines as text."""
     keyed = _keyed(docs, id_col, text_col)
-    gone = _dropped_places(keyed, near)
+    gone = _dropped_places(keyed, near, exact_words)
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     rows = keyed.select("doc_id", "th", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
