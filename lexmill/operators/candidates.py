@@ -52,18 +52,24 @@ def restore_candidates(words: DataFrame, forms: DataFrame, profile: LanguageProf
     return out.withColumn("cost", cost.cast("int"))
 
 
-def restoration_variants(word: Column, profile: LanguageProfile = YAKUT, most: int = 256) -> Column:
-    """The word's restorations as an array, fewest changes first, then by letters; for words of at most `most` variants."""
-    low = F.lower(word)
+def ambiguous_letters(word: Column, profile: LanguageProfile = YAKUT) -> Column:
+    return F.length(F.regexp_replace(F.lower(word), f"[^{profile.restore[0]}]", ""))
+
+
+def restoration_variants(word: Column, profile: LanguageProfile = YAKUT, most: int = MAX_VARIANTS) -> Column:
+    """The word's restorations as an array, fewest changes first, then by letters. A word of over `most` variants restores
+    г, о, у only, and of these the last that make up `most`."""
+    low, bits = F.lower(word), most.bit_length() - 1
     table = F.create_map(*[F.lit(x) for kv in zip(*profile.restore, strict=True) for x in kv])
-    options = F.transform(F.split(low, ""), lambda c: F.array_compact(F.array(c, F.try_element_at(table, c))))
-    n = F.length(F.regexp_replace(low, f"[^{profile.restore[0]}]", ""))
+    late = lambda i: F.length(F.regexp_replace(F.substring(low, i + 1, F.length(low)), "[^гоу]", "")) <= bits
+    few = ambiguous_letters(word, profile) <= bits
+    options = F.transform(F.split(low, ""), lambda c, i: F.array_compact(F.array(c, F.when(few | c.isin("г", "о", "у") & late(i), F.try_element_at(table, c)))))
     grown = F.aggregate(options, F.array(F.lit("")), lambda acc, o: F.flatten(F.transform(acc, lambda a: F.transform(o, lambda x: F.concat(a, x)))))
     if profile.digraph:
         pair, letter = profile.digraph
         grown = F.array_distinct(F.concat(grown, F.array(F.replace(low, F.lit(pair), F.lit(letter)))))
     ranked = F.array_sort(F.transform(grown, lambda v: F.struct(F.when(F.length(v) == F.length(low), _changes(low, v)).otherwise(1).alias("n"), v.alias("v"))))
-    return F.when(n <= most.bit_length() - 1, F.transform(ranked, lambda x: x["v"]))
+    return F.transform(ranked, lambda x: x["v"])
 
 
 def skeleton(word: Column, profile: LanguageProfile = YAKUT) -> Column:

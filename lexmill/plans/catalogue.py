@@ -216,8 +216,8 @@ def restore_join(spark, sf_dir):
 def restore_variants(spark, sf_dir):
     """Of forms with at most four ambiguous letters."""
     forms = _lexicon(spark, sf_dir)[1].select("form")
-    v = C.restoration_variants(F.col("form"), most=16)
-    return forms.select("form", F.array_join(v, " ").alias("variants")).where("variants is not null")
+    few = forms.where(C.ambiguous_letters(F.col("form")) <= 4)
+    return few.select("form", F.array_join(C.restoration_variants(F.col("form")), " ").alias("variants"))
 
 
 def _rule(name: str) -> Query:
