@@ -81,7 +81,8 @@ def duplicates(docs: DataFrame, *, near: bool = True, exact_words: int = MIN_WOR
     exact = table.join(later, LINE).where(_order() > F.col("first")).select("doc_id", "th", "idx")
     if not near:
         return exact
-    halves = distinct.where(F.col("n") >= MIN_WORDS).select(*LINE, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
+    long = distinct if exact_words >= MIN_WORDS else distinct.where(F.col("n") >= MIN_WORDS)
+    halves = long.select(*LINE, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     able = halves.join(shared, "k", "left_semi").select(*LINE).distinct()
     able = written(distinct.join(able, LINE).select(*LINE, "ord", "n"), "able")
