@@ -86,7 +86,8 @@ _OP6 = f"""
 WITH line AS (
   SELECT doc_id, i - 1 AS idx, list_filter(string_split(translate(ls[i], concat(chr(9), chr(11), chr(12), chr(13)), '    '), ' '), lambda w: w <> '') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-long AS (SELECT doc_id, idx, w, len(w) AS n FROM line WHERE len(w) >= {linededup.MIN_WORDS}),
+again AS (SELECT doc_id, idx FROM line WHERE len(w) > 0 QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, idx) > 1),
+long AS (SELECT doc_id, idx, w, len(w) AS n FROM line WHERE len(w) >= {linededup.NEAR_WORDS}),
 half AS (
   SELECT doc_id, idx, w, n, 'first' AS side, w[1:h] AS k FROM (SELECT *, unnest(list_distinct([n // 2, (n + 1) // 2])) AS h FROM long)
   UNION ALL
@@ -95,9 +96,9 @@ pair AS (
   SELECT DISTINCT b.doc_id, b.idx, a.w AS x, b.w AS y
   FROM half a JOIN half b ON a.side = b.side AND a.k = b.k AND abs(a.n - b.n) <= 1 AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.idx < b.idx)),
 gone AS (
-  SELECT DISTINCT doc_id, idx FROM pair
-  WHERE x = y
-    OR len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) = 1
+  SELECT doc_id, idx FROM again UNION
+  SELECT doc_id, idx FROM pair
+  WHERE len(x) = len(y) AND len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) = 1
     OR len(x) + 1 = len(y) AND len(list_filter(range(1, len(y) + 1), lambda i: list_concat(y[1:i - 1], y[i + 1:]) = x)) > 0
     OR len(x) = len(y) + 1 AND len(list_filter(range(1, len(x) + 1), lambda i: list_concat(x[1:i - 1], x[i + 1:]) = y)) > 0),
 per_doc AS (SELECT doc_id, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS dropped FROM gone GROUP BY doc_id)

@@ -205,12 +205,14 @@ def gone_by_hand(rows):
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             w = words(line)
-            if len(w) >= linededup.MIN_WORDS:
+            if w:
                 found.append((i, k, w))
     found.sort(key=lambda x: x[:2])
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if a == b:
+            return True
+        if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < linededup.NEAR_WORDS:
             return False
         p = q = 0
         while p < min(len(a), len(b)) and a[p] == b[p]:
@@ -222,20 +224,22 @@ def gone_by_hand(rows):
     return {y[:2] for n, y in enumerate(found) if any(near(x[2], y[2]) for x in found[:n])}
 
 
-def test_line_dedup_against_all_pairs(spark):
+@pytest.mark.parametrize("short", [256, 11])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, short):
+    monkeypatch.setattr(linededup, "SHORT", short)
     rng = random.Random(3)
-    base = [[rng.choice("a bb c dé e".split()) for _ in range(rng.randint(9, 14))] for _ in range(25)]
+    base = [[rng.choice("a bb c dé e".split()) for _ in range(rng.randint(9, 14))] for _ in range(25)] + [["Home"], ["home"], ["a", "b"], ["a", "c"], ["x"] * 9]
     rows = []
     for i in range(60):
         lines = []
         for _ in range(rng.randint(0, 6)):
             w = list(rng.choice(base))
             for _ in range(rng.randint(0, 2)):
-                k = rng.randrange(len(w))
+                k = rng.randrange(len(w) + 1)
                 w[k : k + rng.randint(0, 1)] = rng.choice([[], ["zz"], ["y"]])
             lines.append(rng.choice([" ", "  ", "\t"]).join(w))
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "x " * 5)]
+    rows += [(100, None), (101, ""), (102, "x " * 5), (103, " \t\nHome\n\n\r Home\x0b"), (104, "p\rq"), (105, "p q")]
     docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
     got = linededup.line_report(docs).collect()
     assert len(got) == len(rows)
