@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.storage import written
 
 NEAR_WORDS = 10
-#: Up to so many words a line's variants are made inside its row; beyond it over a row for each word.
-SHORT = 256
+#: Words whose running XORs are held in one array.
+PIECE = 256
 LINE = ["h1", "h2"]
 
 
@@ -68,27 +68,26 @@ def lines(docs: DataFrame) -> DataFrame:
 def _variants(rows: DataFrame) -> DataFrame:
     """Keys of the lines (h1, h2, ord, n, words, low, high): key and m, the words it covers; pos, the word left out, or -1.
     Words from `low` on and before `high` are left out, one at a time. A key is the XOR of hashes of (word, place); running
-    XORs give each variant in constant time. Lines of up to `SHORT` words hold theirs in an array, longer ones in rows."""
-    wanted = lambda i: (i >= F.col("low")) | (i < F.col("high"))
+    XORs, over `PIECE` words at a time and over the pieces of a line, give each variant in constant time."""
     zero = F.array(F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("g")))
     last = lambda runs: F.element_at(runs, -1)
-    step = lambda runs, w: F.array_append(runs, F.struct(last(runs)["f"].bitwiseXOR(F.xxhash64(w, F.size(runs) - 1)).alias("f"), last(runs)["g"].bitwiseXOR(F.xxhash64(w, F.size(runs) - 2)).alias("g")))
-    short = rows.where(F.col("n") <= SHORT).select(*LINE, "ord", "n", "low", "high", F.aggregate("words", zero, step).alias("runs"))
-    short = short.withColumn("all", F.element_at("runs", -1))
-    key = lambda i: F.get("runs", i)["f"].bitwiseXOR(F.col("all.g")).bitwiseXOR(F.get("runs", i + 1)["g"])
-    made = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), wanted), lambda i: F.struct(i.alias("pos"), key(i).alias("key"), (F.col("n") - 1).alias("m")))
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.col("all.f").alias("key"), F.col("n").alias("m")))
-    out = short.select(*LINE, "ord", F.inline(F.concat(made, own)))
-
-    each = rows.where(F.col("n") > SHORT).select(*LINE, "ord", "n", "low", "high", F.posexplode("words").alias("pos", "w"))
-    each = each.withColumns({"f": F.xxhash64("w", "pos"), "g": F.xxhash64("w", F.col("pos") - 1)})
-    line = Window.partitionBy(*LINE)
-    run = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumns({"before": F.bit_xor("f").over(run), "upto": F.bit_xor("g").over(run), "total": F.bit_xor("g").over(line)})
-    key = F.col("before").bitwiseXOR(F.col("f")).bitwiseXOR(F.col("total")).bitwiseXOR(F.col("upto"))
-    without = each.where(wanted(F.col("pos"))).select(*LINE, "ord", "pos", key.alias("key"), (F.col("n") - 1).alias("m"))
-    whole = each.where(F.col("pos") == F.col("n") - 1).select(*LINE, "ord", F.lit(-1).alias("pos"), F.col("before").alias("key"), F.col("n").alias("m"))
-    return out.unionByName(without).unionByName(whole)
+    at = lambda runs, less: F.col("start") + F.size(runs) - less
+    step = lambda runs, w: F.array_append(runs, F.struct(last(runs)["f"].bitwiseXOR(F.xxhash64(w, at(runs, 1))).alias("f"), last(runs)["g"].bitwiseXOR(F.xxhash64(w, at(runs, 2))).alias("g")))
+    given = [*LINE, "ord", "n", "low", "high", "start"]
+    one = rows.where(F.col("n") <= PIECE).withColumn("start", F.lit(0)).select(*given, F.aggregate("words", zero, step).alias("runs"))
+    one = one.withColumns({"f": F.lit(0).cast("long"), "g": F.lit(0).cast("long"), "all_g": F.element_at("runs", -1)["g"]})
+    pieces = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(PIECE)).alias("piece")))
+    many = rows.where(F.col("n") > PIECE).select(*LINE, "ord", "n", "low", "high", F.inline(pieces)).select(*given, F.aggregate("piece", zero, step).alias("runs"))
+    line, own = Window.partitionBy(*LINE), lambda c: F.element_at("runs", -1)[c]
+    before = lambda c: F.bit_xor(own(c)).over(line.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)).bitwiseXOR(own(c))
+    many = many.withColumns({"f": before("f"), "g": before("g"), "all_g": F.bit_xor(own("g")).over(line)})
+    both = one.unionByName(many)
+    wanted = F.filter(F.sequence(F.lit(0), F.size("runs") - 2), lambda i: (F.col("start") + i >= F.col("low")) | (F.col("start") + i < F.col("high")))
+    key = lambda i: F.col("f").bitwiseXOR(F.get("runs", i)["f"]).bitwiseXOR(F.col("all_g")).bitwiseXOR(F.col("g")).bitwiseXOR(F.get("runs", i + 1)["g"])
+    made = F.transform(wanted, lambda i: F.struct((F.col("start") + i).alias("pos"), key(i).alias("key"), (F.col("n") - 1).alias("m")))
+    whole = F.struct(F.lit(-1).alias("pos"), F.col("f").bitwiseXOR(own("f")).alias("key"), F.col("n").alias("m"))
+    ends = F.filter(F.array(F.when(F.col("start") + PIECE >= F.col("n"), whole)), lambda x: x.isNotNull())
+    return both.select(*LINE, "ord", F.inline(F.concat(made, ends)))
 
 
 def _without(words: Column, pos: Column) -> Column:

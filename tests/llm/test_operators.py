@@ -224,9 +224,9 @@ def gone_by_hand(rows):
     return {y[:2] for n, y in enumerate(found) if any(near(x[2], y[2]) for x in found[:n])}
 
 
-@pytest.mark.parametrize("short", [256, 11])
-def test_line_dedup_against_all_pairs(spark, monkeypatch, short):
-    monkeypatch.setattr(linededup, "SHORT", short)
+@pytest.mark.parametrize("piece", [256, 4])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(linededup, "PIECE", piece)
     rng = random.Random(3)
     base = [[rng.choice("a bb c dé e".split()) for _ in range(rng.randint(9, 14))] for _ in range(25)] + [["Home"], ["home"], ["a", "b"], ["a", "c"], ["x"] * 9]
     rows = []
