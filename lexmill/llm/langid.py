@@ -6,14 +6,16 @@ n-grams, corrected for the false positives that its filling makes expectable, sa
 the largest one decides.
 
 What the filter holds is learnt from labelled texts: letter n-grams (lower-cased, a blank at word ends) of the orders in
-`ORDERS`, counted over whole texts. A language contains an n-gram if its rate there is at least `SHARE` of its highest
-rate in any language, and at most `TERMS` n-grams, the most frequent, count for a language. Counting is spread over the
-cluster; the fit takes a hash-chosen sample of about `TRAIN_DOCS` documents a language at most (all if there are fewer),
-so what comes to the driver is bounded by TERMS times the number of languages.
-
-Defined cases: text that is null or has no letter is `und` with score 0, as is text in which no n-gram is known; without
-any labelled document everything is `und`; repeated rows are scored alike; ties go to the first language by code point;
-texts of any length are read whole, in blocks; other columns are left alone.
+`ORDERS`, counted over whole texts. A language contains an n-gram that makes up at least `MIN_RATE` of all its n-grams, if
+that rate is at least `SHARE` of the highest in any language. Rates add up to one, so a language has at most 1 / MIN_RATE
+n-grams, found without ranking them. Counting is spread over the cluster; the fit takes a hash-chosen sample of about
+`TRAIN_DOCS` documents a language at most (all if there are fewer), so what comes to the driver is bounded by 1 / MIN_RATE
+times the number of languages. The filter has `ROOM` slots for each n-gram of the largest language.
+
+Defined cases: text that is null or has no letter is `und` with score 0; text with letters of which no n-gram is known
+takes the language of most labelled documents, with score 0; without any labelled document everything is `und`; repeated
+rows are scored alike; ties go to the first language by code point; texts of any length are read whole, in blocks; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.storage import written
 
 ORDERS = (2, 3, 4)
-TRAIN_DOCS, TERMS, MIN_COUNT, SHARE = 4000, 20_000, 5, 0.5
-SLOTS, HASHES = 1 << 19, 3
+TRAIN_DOCS, MIN_RATE, MIN_COUNT, SHARE = 4000, 2e-5, 5, 0.5
+ROOM, HASHES = 8, 3
 #: Letters taken at once, whatever the length of a text.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -101,27 +103,31 @@ def _grams(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield h, at
 
 
-def _slots(h: np.ndarray) -> Iterator[np.ndarray]:
+def _slots(h: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Slots of each n-gram among n, a power of two."""
     step = (h >> np.uint64(20)) | np.uint64(1)
     with np.errstate(over="ignore"):
         for k in range(HASHES):
-            yield ((h + step * np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64)
+            yield ((h + step * np.uint64(k)) & np.uint64(n - 1)).astype(np.int64)
 
 
 @dataclass
 class LanguageFilter:
-    """languages in code-point order; slots[s, w] has bit l % 64 of word w = l // 64 set for language l."""
+    """languages in code-point order; slots[s, w] has bit l % 64 of word w = l // 64 set for language l. usual: number of
+    the language for letters that say nothing."""
 
     languages: list[str]
     slots: np.ndarray
+    usual: int = 0
 
     @staticmethod
-    def of(languages: list[str], terms: list[np.ndarray]) -> LanguageFilter:
-        slots = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
+    def of(languages: list[str], terms: list[np.ndarray], usual: int = 0) -> LanguageFilter:
+        n = 1 << max(10, (ROOM * max([1, *map(len, terms)]) - 1).bit_length())
+        slots = np.zeros((n, max(1, -(-len(languages) // 64))), np.uint64)
         for k, hashes in enumerate(terms):
-            for s in _slots(hashes.astype(np.uint64)):
+            for s in _slots(hashes.astype(np.uint64), n):
                 slots[s, k // 64] |= np.uint64(1) << np.uint64(k % 64)
-        return LanguageFilter(languages, slots)
+        return LanguageFilter(languages, slots, usual)
 
     def wrong(self) -> np.ndarray:
         """For each language, the chance that a strange n-gram is taken for one of it."""
@@ -130,7 +136,7 @@ class LanguageFilter:
 
     def containing(self, h: np.ndarray) -> np.ndarray:
         """Bits of all languages that contain each n-gram."""
-        first, *rest = _slots(h)
+        first, *rest = _slots(h, len(self.slots))
         mask = self.slots[first]
         for s in rest:
             mask &= self.slots[s]
@@ -151,9 +157,9 @@ class LanguageFilter:
         wrong = self.wrong()
         true = np.maximum((counts - total[:, None] * wrong) / (1 - wrong), 0)
         best, most = true.argmax(axis=1), true.max(axis=1)
-        known = (letters > 0) & (most > 0)
-        score = np.where(known, most / np.maximum(true.sum(axis=1), 1e-12), 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)], score
+        best = np.where(most > 0, best, self.usual)
+        score = np.where(letters > 0, most / np.maximum(true.sum(axis=1), 1e-12), 0.0)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), (letters > 0).tolist(), strict=True)], score
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,30 +174,30 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
-    """The filter for labelled rows (text, language), of which nulls are left out."""
+    """The filter for labelled rows (text, language), of which nulls are left out. What is collected are a number and the
+    n-grams of each language."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+    listed = sorted(sizes.collect(), key=lambda r: r["lang"].encode())
+    if not listed:
         return LanguageFilter.of([], [])
-    part = F.lit(0.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, min(1.0, TRAIN_DOCS / n)).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part * 1_000_000)
+    languages = [r["lang"] for r in listed]
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(TRAIN_DOCS * 1_000_000) / F.col("size")
+    sample = rows.join(sizes, "lang").where(chosen).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
-    own = rates.join(best, "gram").where((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= MIN_COUNT))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    terms = own.withColumn("rank", rank).where(F.col("rank") <= TERMS).select("lang", "gram").toPandas()
-    languages = sorted(sizes, key=lambda x: x.encode())
-    return LanguageFilter.of(languages, [terms.gram[terms.lang == x].to_numpy(np.int64).view(np.uint64) for x in languages])
+    own = rates.where((F.col("rate") >= MIN_RATE) & (F.col("n") >= MIN_COUNT)).join(best, "gram").where(F.col("rate") >= SHARE * F.col("best"))
+    terms = own.select("lang", "gram").toPandas()
+    usual = max(range(len(listed)), key=lambda k: (listed[k]["size"], -k))
+    return LanguageFilter.of(languages, [terms.gram[terms.lang == x].to_numpy(np.int64).view(np.uint64) for x in languages], usual)
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text: Column) -> DataFrame:
     """docs with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.usual))
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -128,6 +128,32 @@ def test_language_id(docs, rows):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_letters_that_nothing_was_learnt_of_take_the_usual_language(spark, docs):
+    odd = docs_of(spark, [(1000, "жжж ыыы", None, "a"), (1001, "中", None, "a"), (1002, "12 ?", None, "a")])
+    got = {r.doc_id: r for r in langid.identify(docs.unionByName(odd)).collect()}
+    assert {got[k].lang_pred for k in (1000, 1001)} <= {"de", "en"} and got[1000].score == got[1001].score == 0
+    assert got[1002].lang_pred == "und"
+    kept = langid.drop_unidentified(docs.unionByName(odd))
+    assert {r.doc_id for r in kept.where("doc_id >= 1000").collect()} == {1000, 1001}
+
+
+def test_language_filter_against_sets():
+    """Predictions from the filter against those from plain sets: false positives are corrected for."""
+    rng = random.Random(4)
+    own = {"a": [f"{x}{y}" for x in "bcdfg" for y in "aeo"], "b": [f"{x}{y}" for x in "klmnp" for y in "iuo"], "c": [f"{x}{y}" for x in "bcklm" for y in "aiu"]}
+    text = lambda k, n: " ".join("".join(rng.choice(own[k]) for _ in range(3)) for _ in range(n))
+    grams = lambda t: [h for codes, owner in langid._blocks([t]) for h, _ in langid._grams(codes, owner)]
+    terms = [np.unique(np.concatenate(grams(text(k, 300)))) for k in own]
+    model = langid.LanguageFilter.of(list(own), terms)
+    for _ in range(60):
+        k = rng.choice("abc")
+        t = text(k, 30)
+        h = np.concatenate(grams(t))
+        hits = [int(np.isin(h, x).sum()) for x in terms]
+        (name,), score = model.predict([t])
+        assert name == k == "abc"[int(np.argmax(hits))] and score[0] == pytest.approx(max(hits) / sum(hits), abs=0.03)
+
+
 def test_language_id_without_labels_and_rows(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs_of(spark, [(1, "the of", None, "a")])).collect()} == {"und"}
     assert langid.identify(empty(docs)).count() == 0
