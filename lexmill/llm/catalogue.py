@@ -33,7 +33,8 @@ def op4_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_documents(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_types")
+    """Under a key that anybody can read, as the texts are invented; whoever has something to hide brings a key of their own."""
+    return pii.replace_documents(_table(spark, sf_dir, "documents"), b"key of the test tables").select("doc_id", "text", "n_entities", "entity_types")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
