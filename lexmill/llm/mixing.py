@@ -1,13 +1,14 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random 63-bit key. Keys order a source; their leading bits are buckets, so that the prefix
-sums of sizes are taken in two steps (over the buckets of a source, then inside the one bucket where the budget runs
-out); there are about as many buckets as the root of the largest source's rows, so both steps are small. The budget of a source then is one position in that order: documents before it
-get one epoch more than documents after it, and the document at it is cut at the exact word.
+Each document gets a hash-random key, and the keys are range-sorted within each source: sizes by key, keys only, are dealt
+out to ranges, so that a source of any size is spread. The prefix sums of sizes are taken in two steps, over the ranges of
+a source, then inside the one range where its budget runs out. The budget then is one position in that order: documents
+before it get one epoch more than documents after it, and the document at it is cut at the exact word.
 
 Defined cases: null text has size 0; null is a source of its own, ranked last; a repeated row (equal id and text) is
-a tie and its repeats share what is left at the cut evenly; an empty table gives an empty mix; extra columns stay and
-never clash, as helper columns get free names.
+a tie: its repeats share the words left at the cut, and what can't be shared evenly goes a word each to the first of them
+in the order of a hash of all their columns; an empty table gives an empty mix; extra columns stay and never clash, as
+helper columns get free names.
 """
 
 from __future__ import annotations
@@ -76,38 +77,59 @@ def plan_mix(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_col="doc_id", tex
     k1, k2 = mix_key(spec, docs[id_col], docs[text_col])
     sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), k1.alias("k1"), k2.alias("k2"))
     sized = written(sized, "sized")
-    sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
-    rows = sources.agg(F.max("n")).first()[0] or 0
-    bits = (int(rows).bit_length() + 1) // 2
+    sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     budget = F.floor(F.col("target") + 0.5).cast("long")
-    plan = targets(sources.drop("n"), spec).withColumn("full", F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(0).cast("long"))
+    plan = targets(sources, spec).withColumn("full", F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(0).cast("long"))
     plan = written(plan.withColumn("rest", budget - F.col("full") * F.col("source_size")), "plan")
 
-    bucketed = sized.where("size > 0").withColumn("bucket", F.shiftright("k1", 63 - bits) if bits else F.lit(0).cast("long"))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    sums = sums.withColumn("before", upto - F.col("words")).withColumnRenamed("source", "of")
-    at = sums.join(plan.where("rest > 0"), F.col("of").eqNullSafe(F.col("source"))).where("before < rest and rest <= before + words").select("of", F.col("bucket").alias("at_bucket"), "before", "rest")
-    inside = bucketed.join(at, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at_bucket"))).groupBy("source", "before", "rest", "k1", "k2").agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
+    # repeated rows are summed up first, so that no key has more than a row
+    keys = sized.where("size > 0").groupBy("source", "k1", "k2").agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
+    dealt = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "source", "k1", "k2").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    sums = dealt.groupBy("source", "part").agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("part"))
+    sums = sums.select(F.col("source").alias("of"), F.col("part").alias("at_part"), "words", (upto - F.col("words")).alias("before"))
+    at = sums.join(plan.where("rest > 0"), F.col("of").eqNullSafe(F.col("source"))).where("before < rest and rest <= before + words").select("of", "at_part", "before", "rest")
+    inside = dealt.join(at, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at_part")))
     run = F.sum("words").over(Window.partitionBy("source").orderBy("k1", "k2")) + F.col("before")
     cut = inside.withColumn("upto", run).where("upto >= rest and upto - words < rest")
-    cut = cut.select(F.col("source").alias("of"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.expr("(rest - upto + words) div ties").alias("cut_words"))
+    left = F.expr("rest - upto + words")
+    cut = cut.select(F.col("source").alias("of"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.expr("(rest - upto + words) div ties").alias("cut_words"), (left % F.col("ties")).alias("spare"))
     cuts = plan.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest", "weight")
     return sized, written(cuts, "cuts")
 
 
-def _extra(size: Column, k1: Column, k2: Column) -> Column:
-    """Words of the last, partial epoch that a document gives."""
-    before = (k1 < F.col("c1")) | ((k1 == F.col("c1")) & (k2 < F.col("c2")))
-    at = (k1 == F.col("c1")) & (k2 == F.col("c2"))
-    return F.when(before, size).when(at, F.least(size, F.col("cut_words"))).otherwise(0)
+def _with_spare(rows: DataFrame, at: Column, source: Column, cut_words: str, spare: str) -> DataFrame:
+    """rows with `cut_words` of their own: those at a cut (`at`) that come first get one more, up to the number in `spare`.
+    They are numbered over range partitions, as any number of rows may be one document's."""
+    tied = at & F.coalesce(F.col(spare) > 0, F.lit(False))
+    some = rows.where(tied)
+    kept = [c for c in rows.columns if c not in (cut_words, spare)]
+    hash_, id_, src = (column_named(rows, x) for x in ("hash", "row", "src"))
+    some = ranked(some.withColumns({hash_: F.xxhash64(*rows.columns), id_: F.monotonically_increasing_id(), src: source}), F.col(src), F.col(hash_), F.col(id_))
+    first = some.groupBy(src).agg(F.min("rank").alias("first")).withColumnRenamed(src, "of")
+    some = some.join(first, F.col(src).eqNullSafe(F.col("of")))
+    one = F.when(F.col("rank") - F.col("first") < F.col(spare), 1).otherwise(0)
+    return rows.where(~F.coalesce(tied, F.lit(False))).unionByName(some.select(*kept, (F.col(cut_words) + one).alias(cut_words), spare))
+
+
+def _at(k1: Column, k2: Column, c1: Column, c2: Column) -> Column:
+    return F.coalesce((k1 == c1) & (k2 == c2), F.lit(False))
+
+
+def _before(k1: Column, k2: Column, c1: Column, c2: Column) -> Column:
+    return F.coalesce((k1 < c1) | ((k1 == c1) & (k2 < c2)), F.lit(False))
 
 
 def mix_decisions(docs: DataFrame, spec: MixSpec = MixSpec(), **columns) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: what the mix takes of each document."""
     sized, cuts = plan_mix(docs, spec, **columns)
-    both = sized.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    taken = F.col("full") * F.col("size") + _extra(F.col("size"), F.col("k1"), F.col("k2"))
+    both = sized.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    place = [F.col(x) for x in ("k1", "k2", "c1", "c2")]
+    if not cuts.where("spare > 0").isEmpty():
+        both = _with_spare(both, _at(*place), F.col("source"), "cut_words", "spare")
+    extra = F.when(_before(*place), F.col("size")).when(_at(*place), F.least("size", "cut_words")).otherwise(0)
+    taken = F.col("full") * F.col("size") + extra
     return both.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
@@ -119,13 +141,14 @@ def mix_documents(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_col="doc_id"
     for name, value in zip(("k1", "k2"), mix_key(spec, docs[id_col], docs[text_col]), strict=True):
         made[name] = column_named(keyed, name)
         keyed = keyed.withColumn(made[name], value)
-    for c in ("source_size", "target", "full", "c1", "c2", "cut_words", "source"):
+    for c in ("source_size", "target", "full", "c1", "c2", "cut_words", "spare", "source"):
         made[c] = column_named(keyed, f"mix_{c}")
         cuts = cuts.withColumnRenamed(c, made[c])
     both = keyed.join(cuts, F.col(source_col).eqNullSafe(F.col(made["source"])))
-    k1, k2, c1, c2 = (F.col(made[x]) for x in ("k1", "k2", "c1", "c2"))
-    at = F.coalesce((k1 == c1) & (k2 == c2), F.lit(False))
-    before = F.coalesce((k1 < c1) | ((k1 == c1) & (k2 < c2)), F.lit(False))
+    place = [F.col(made[x]) for x in ("k1", "k2", "c1", "c2")]
+    at, before = _at(*place), _before(*place)
+    if not cuts.where(F.col(made["spare"]) > 0).isEmpty():
+        both = _with_spare(both, at, F.col(source_col), made["cut_words"], made["spare"])
     times = F.col(made["full"]) + F.when(before | (at & (F.col(made["cut_words"]) > 0)), 1).otherwise(0)
     epoch = column_named(both, "epoch")
     rows = both.withColumn(epoch, F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))))

@@ -10,7 +10,8 @@ The forest is fitted on a hash-chosen sample of about `FIT_ROWS` documents at mo
 comes to the driver is bounded. The statistics, the scores and the threshold cover every document.
 
 Defined cases: null text has no words; base_failed then holds, so it isn't kept; repeated rows are counted and scored
-alike; labels that are null, or name no document, count for nothing; without labels of both kinds the score at which 5 %
+alike; labels that are null, or name no document, count for nothing; a label counts once for each document of its id,
+however often it is repeated, and contrary ones both count; without labels of both kinds the score at which 5 %
 of the sample would go is the threshold; empty tables give no rows; extra columns are left alone.
 """
 
@@ -71,9 +72,10 @@ def _statistics_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """Statistics by word, so that long and short texts compare."""
+    """Statistics by word, so that long and short texts compare; numbers without a bound as logarithms, as splits are drawn
+    evenly over a range and a few huge values would take them all."""
     n = np.maximum(rows[:, 0], 1)
-    return np.column_stack((np.log1p(np.minimum(rows[:, 0], 50)), rows[:, 1] / n, np.minimum(rows[:, 2] / n, 1), np.minimum(rows[:, 3], 10), rows[:, 4] / n))
+    return np.column_stack((np.log1p(rows[:, 0]), np.log1p(rows[:, 1] / n), np.log1p(rows[:, 2] / n), np.log1p(rows[:, 3]), rows[:, 4] / n))
 
 
 @dataclass
@@ -169,10 +171,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = measured.count()
     part = min(1.0, FIT_ROWS / max(rows, 1))
     chosen = measured.where(~_base_failed() & (F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(1_000_000)) < part * 1_000_000))
-    sample = chosen.select(*COUNTS).orderBy(*COUNTS).toPandas().to_numpy(np.float64).reshape(-1, len(COUNTS))
+    sample = chosen.select(*COUNTS).toPandas().to_numpy(np.float64).reshape(-1, len(COUNTS))
+    # in an order of their own, whatever the partitions
+    sample = sample[np.lexsort(sample.T)]
     forest = IsolationForest.fit(features(sample))
     scored = written(_score(measured, forest), "scored")
-    graded = labels.select(labels[label_id].alias("of"), labels[label_col].alias("quality")).where("of is not null and quality is not null")
+    graded = labels.select(labels[label_id].alias("of"), labels[label_col].alias("quality")).where("of is not null and quality is not null").distinct()
     bins = scored.where(~_base_failed()).join(graded, F.col("doc_id") == F.col("of")).groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), "quality").agg(F.count("*").alias("n"))
     limit = threshold(bins.toPandas(), forest.score(features(sample)) if len(sample) else np.zeros(0))
     failed = _base_failed()

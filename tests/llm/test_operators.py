@@ -82,6 +82,26 @@ def test_mix_decisions(docs, rows):
     assert mixing.mix_decisions(empty(docs)).count() == 0
 
 
+def test_mix_shares_what_repeated_rows_get_to_the_last_word(spark):
+    """A budget that ends within a document which is there seven times, in rows that differ by another column only."""
+    rows = [(1, "w " * 10, "en", "x", k % 3, "t", "k", "w") for k in range(7)] + [(2, "v " * 115, "en", None, 0, "t", "k", "w"), (3, "u " * 13, "en", "z", 0, "t", "k", "w")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix_decisions(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert taken == {s: int(t + 0.5) for s, t in target.items()} and sum(taken.values()) == 198
+    ones = [r.taken for r in got if r.doc_id == 1]
+    assert max(ones) - min(ones) <= 1 and sum(ones) % 7
+    mixed = mixing.mix_documents(docs).collect()
+    assert sum(len(words(r.text)) for r in mixed) == 198
+    by = Counter()
+    for r in mixed:
+        by[r.source] += len(words(r.text))
+    assert by == taken
+
+
 def test_mix_documents_is_the_mix(docs):
     decided = sum(r.taken for r in mixing.mix_decisions(docs).collect())
     mixed = mixing.mix_documents(docs)
@@ -458,6 +478,45 @@ def test_quality_verdicts(spark):
     assert quality.judge(docs_of(spark, rows).where("1 = 0"), labels).count() == 0
 
 
+def test_quality_verdicts_against_brute_force(spark):
+    """Each document down each tree by hand, and the threshold by trying every bin."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(30, 400))]
+        w = [x + "#" * (rng.random() < 0.02 * (i % 7)) for x in w]
+        rows.append((i, "".join(x + (" " if rng.random() < 0.8 else "\n") for x in w + w[: rng.randint(0, 20) * (i % 2)]), "en", "a"))
+    rows += [rows[5], (1000, None, "en", "a")]
+    marks = [(i, rng.randint(0, 1), 0) for i in range(0, 300, 2)]
+    marks += [marks[0], (marks[1][0], 1 - marks[1][1], 0), (5000, 1, 0), (None, 1, 0), (7, None, 0)]
+    got = quality.judge(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, anomaly int")).collect()
+    stats = [(r[0], quality.statistics(r[1])) for r in rows]
+    failed = lambda s: s[0] < 50 or 100 * s[4] > 50 * s[0]
+    sample = np.array([s for _, s in stats if not failed(s)], float)
+    forest = quality.IsolationForest.fit(quality.features(sample[np.lexsort(sample.T)]))
+    assert {f for f in forest.feature.ravel().tolist() if f >= 0} == {0, 1, 2, 3, 4}
+
+    def score(s):
+        x, total = quality.features(np.array([s], float))[0], 0.0
+        for t in range(quality.TREES):
+            at = 0
+            while (f := forest.feature[t, at]) >= 0:
+                at = forest.child[t, at] + (1 if x[f] > forest.value[t, at] else 0)
+            total += forest.path[t, at]
+        return 2 ** (-total / quality.TREES / forest.norm)
+
+    graded = [(score(s), q) for i, s in stats if not failed(s) for q in {q for j, q, _ in marks if j == i and q is not None}]
+    good, bad = [b for b, q in graded if q == 1], [b for b, q in graded if q == 0]
+    best = (-1.0, 0.0)
+    for k in range(1, quality.BINS + 2):
+        kept, out = sum(int(b * quality.BINS) < k for b in good) / len(good), sum(int(b * quality.BINS) >= k for b in bad) / len(bad)
+        if kept >= quality.KEEP_GOOD and kept + out > best[0] + 1e-12:
+            best = (kept + out, k / quality.BINS)
+    want = Counter((i, *s, failed(s), not failed(s) and score(s) <= best[1]) for i, s in stats)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == want
+    assert len({w[-1] for w in want}) == 2
+
+
 # --- BPE ------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def reference():
