@@ -72,10 +72,10 @@ def _statistics_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """Statistics by word, so that long and short texts compare; numbers without a bound as logarithms, as splits are drawn
-    evenly over a range and a few huge values would take them all."""
+    """The length, and the other statistics by word, so that long and short texts compare; what has no bound as a logarithm,
+    as splits are drawn evenly over a range and a few huge values would take them all."""
     n = np.maximum(rows[:, 0], 1)
-    return np.column_stack((np.log1p(rows[:, 0]), np.log1p(rows[:, 1] / n), np.log1p(rows[:, 2] / n), np.log1p(rows[:, 3]), rows[:, 4] / n))
+    return np.column_stack((np.log1p(rows[:, 0]), np.log1p(rows[:, 1] / n), np.log1p(rows[:, 2] / n), rows[:, 3] / n, rows[:, 4] / n))
 
 
 @dataclass
