@@ -3,8 +3,9 @@
 The first tier resolves whole pre-tokens that the vocabulary holds: a minimal perfect hash (hash and displace) maps each
 vocabulary entry to a slot of its own in a table without gaps, and one comparison tells an entry from a stranger. The
 second tier encodes the rest: the bytes form a doubly linked list, a heap holds each adjacent pair by rank and place,
-and the lowest pair is merged until none is left. A worker keeps the encodings of the pre-tokens it met most recently,
-within a fixed number of entries, as words repeat.
+and the lowest pair is merged until none is left. A worker keeps the encodings of pre-tokens, as words repeat, until they
+fill `KEPT_BYTES`, and starts anew then; pre-tokens of over `LONG` letters are forgotten at once. The vocabulary is opened
+by each worker: its path is a name there, not one of the driver's.
 
 Defined cases: null text counts as empty and gives no ids; repeated rows are encoded alike; an empty table gives no
 rows; texts of any length are encoded whole; other columns are kept, and the result's names win over clashing ones.
@@ -25,8 +26,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-#: Encodings that a worker keeps.
-KEPT = 400_000
+#: Bytes, about, of the encodings that a worker keeps; letters of a pre-token that is worth it; pre-tokens taken at once.
+KEPT_BYTES, LONG, PART = 96 << 20, 64, 100_000
+#: What an entry takes beside its letters and ids.
+_ENTRY = 280
 _ROWS = 256
 
 
@@ -90,6 +93,7 @@ class Encoder:
                 if a is not None and b is not None:
                     self.joined[a, b] = rank
         self.kept: dict[str, tuple[str, bytes, int]] = {}
+        self.held, self.long = 0, []
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that isn't an entry: merges of the lowest rank first, of equal ones the leftmost."""
@@ -128,14 +132,21 @@ class Encoder:
         return b"".join([self.bytes_of[x] for x in ids])
 
     def _known(self, tokens: set[str]) -> dict[str, tuple[str, bytes, int]]:
-        """For each token: its ids as text, the bytes that they decode to, their number."""
+        """For each token: its ids as text, the bytes that they decode to, their number. Good until the next call."""
         kept = self.kept
-        if len(kept) + len(tokens) > KEPT:
+        for t in self.long:
+            del kept[t]
+        self.long = []
+        if self.held > KEPT_BYTES:
             kept.clear()
-        for t in tokens:
-            if t not in kept:
-                ids = self.piece(t)
-                kept[t] = ",".join(map(str, ids)), self.decode(ids), len(ids)
+            self.held = 0
+        for t in tokens - kept.keys():
+            ids = self.piece(t)
+            row = kept[t] = ",".join(map(str, ids)), self.decode(ids), len(ids)
+            if len(t) > LONG:
+                self.long.append(t)
+            else:
+                self.held += _ENTRY + 2 * len(t) + len(row[0]) + len(row[1])
         return kept
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
@@ -156,8 +167,8 @@ class Encoder:
     def _parts(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, in lists of bounded length."""
         tokens = self.find_all(text)
-        for k in range(0, len(tokens), KEPT // 4):
-            yield tokens[k : k + KEPT // 4]
+        for k in range(0, len(tokens), PART):
+            yield tokens[k : k + PART]
 
 
 @cache
@@ -173,6 +184,12 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def _opened(path: str | None, pattern: str | None) -> Encoder:
+    """In a worker: the encoder of a path and pattern, of the installed vocabulary's where they aren't given."""
+    where, how = (path, pattern) if path and pattern else vocabulary()
+    return encoder(path or where, pattern or how)
+
+
 def _with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], row) -> DataFrame:
     """docs without columns of the fields' names, plus the fields; row makes an iterable of value lists from texts."""
     made = {f.name.lower() for f in fields}
@@ -195,14 +212,12 @@ def _with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], r
 
 def encode_documents(docs: DataFrame, *, path: str | None = None, pattern: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256; with_ids also token_ids."""
-    where, how = vocabulary()
-    where, how = path or where, pattern or how
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
 
     def row(texts):
-        e = encoder(where, how)
+        e = _opened(path, pattern)
         out = list(zip(*[e.digest(t) for t in texts], strict=True))
         if with_ids:
             out.append([np.array([int(x) for part in e._parts(t or "") for known in [e._known(set(part))] for w in part for x in known[w][0].split(",")], dtype=np.int32) for t in texts])
@@ -213,13 +228,9 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, pattern: str |
 
 def decode_ids(rows: DataFrame, ids_col: str = "token_ids", *, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """rows with `decoded`: the bytes of their ids."""
-    where, how = vocabulary()
-    where, how = path or where, pattern or how
-    return _with_columns(rows, ids_col, [T.StructField("decoded", T.BinaryType())], lambda ids: [[encoder(where, how).decode(x or []) for x in ids]])
+    return _with_columns(rows, ids_col, [T.StructField("decoded", T.BinaryType())], lambda ids: [[_opened(path, pattern).decode(x or []) for x in ids]])
 
 
 def count_tokens(docs: DataFrame, *, path: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with n_tokens."""
-    where, how = vocabulary()
-    where, how = path or where, pattern or how
-    return _with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], lambda texts: [[encoder(where, how).count(t) for t in texts]])
+    return _with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], lambda texts: [[_opened(path, pattern).count(t) for t in texts]])

@@ -552,6 +552,18 @@ def test_bpe_on_odd_texts(reference):
     assert e.encode(long) == reference.encode_ordinary(long)
 
 
+def test_bpe_forgets_within_bounds(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PART", 50)
+    e, rng = bpe.Encoder(*bpe.vocabulary()), random.Random(7)
+    for _ in range(40):
+        t = " ".join("".join(rng.choice("abcdé中") for _ in range(rng.choice([3, 5, 9, 200]))) for _ in range(120))
+        ids = reference.encode_ordinary(t)
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()
+        assert e.digest(t) == want and e.count(t) == len(ids)
+        assert sum(map(len, e.kept)) <= 40_000
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = bpe.PerfectHash(keys)
