@@ -8,7 +8,8 @@ of at most `MISS` (closer pairs far less often) whatever the size.
 
 Identical vectors are collapsed before hashing and counted by their multiplicity. A key with over `TILE` vectors is cut
 into tiles, and each pair of tiles is a task's work of fixed size; tasks return a count for each vector and a spanning
-forest of the links, never pairs.
+forest of the links, never pairs. A key of n different vectors takes n * n / TILE rows of work: exact counts of links need
+all its pairs compared, and a tile is as large as a task's memory allows, so that few rows are sent for them.
 
 Defined cases: a null label, and a vector that is null, empty, zero or holds null or non-finite components, link with
 nothing (n_links 0, own component); vectors of different length don't link; repeated rows are vectors of their own
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from lexmill.llm.components import Forest, components
 from lexmill.llm.storage import written
 
-WIDTH, MISS, TILE, BLOCK, SEED = 1.6, 1e-5, 1024, 256, 977
+WIDTH, MISS, TILE, BLOCK, SEED = 1.6, 1e-5, 8192, 256, 977
+#: Numbers that a tile holds at most: vectors of over 1,024 have smaller tiles.
+TILE_NUMBERS = 1 << 23
 #: Vectors without relation that a key should hold beside those it is meant for.
 STRANGERS = 64
 
@@ -145,7 +148,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, *, id_col="vec_
     cell = ["label", "dim", "table", "key"]
     dealt = hashed.select("rid", "label", "dim", F.posexplode("keys").alias("table", "key"))
     full = dealt.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1")
-    tiles = F.expr(f"(size + {TILE - 1}) div {TILE}")
+    tile_rows = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_NUMBERS) / F.col("dim")).cast("int")))
+    tiles = F.ceil(F.col("size") / tile_rows)
     tile = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("rid", "table"), F.col("tiles"))).otherwise(F.lit(0).cast("long"))
     placed = dealt.join(full, cell).withColumn("tiles", tiles).withColumn("tile", tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
