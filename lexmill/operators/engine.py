@@ -78,6 +78,7 @@ class Engine:
     grammar: bool = True
     grammar_penalty: int = GRAMMAR_PENALTY
     out_of_lexicon: bool = True
+    tail_grammar: bool = False
     fuzzy: bool = True
     flag_rules: tuple[str, ...] = ()
     max_suggestions: int = 5
@@ -104,7 +105,7 @@ class Engine:
         spark = pieces.sparkSession
         words = pieces.where("kind = 'word'").withColumn("word", F.lower("piece"))
         forms = words.select(F.col("word").alias("form")).distinct()
-        verdicts = X.verdicts(forms, self.lexicon, self.shadows, use_tail=self.use_tail, profile=self.profile)
+        verdicts = X.verdicts(forms, self.lexicon, self.shadows, use_tail=self.use_tail, use_grammar=self.tail_grammar, profile=self.profile)
         reason = F.when(~F.col("ok"), F.col("reason"))
         if self.flag_rules:
             reason = reason.when(~R.is_wellformed(F.col("form"), self.flag_rules, self.profile), "grammar")
@@ -167,7 +168,7 @@ class Engine:
 
     def spell(self, words: DataFrame) -> DataFrame:
         """(word) -> form, ok, reason, freq of each distinct word."""
-        return X.verdicts(words.select(F.col("word").alias("form")), self.lexicon, self.shadows, use_tail=self.use_tail, profile=self.profile)
+        return X.verdicts(words.select(F.col("word").alias("form")), self.lexicon, self.shadows, use_tail=self.use_tail, use_grammar=self.tail_grammar, profile=self.profile)
 
     def suggest(self, words: DataFrame) -> DataFrame:
         """(word[, left, right]) -> word, form, cost, freq, kind, score, rank, whatever the verdict."""

