@@ -140,7 +140,7 @@ class Encoder:
         if self.held > KEPT_BYTES:
             kept.clear()
             self.held = 0
-        for t in tokens - kept.keys():
+        for t in tokens.difference(kept):
             ids = self.piece(t)
             row = kept[t] = ",".join(map(str, ids)), self.decode(ids), len(ids)
             if len(t) > LONG:
@@ -153,11 +153,10 @@ class Encoder:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
         n, ids, decoded, sep = 0, hashlib.sha256(), hashlib.sha256(), b""
         for tokens in self._parts(text or ""):
-            known = self._known(set(tokens))
-            rows = [known[t] for t in tokens]
-            n += sum([r[2] for r in rows])
-            ids.update(sep + ",".join([r[0] for r in rows]).encode())
-            decoded.update(b"".join([r[1] for r in rows]))
+            texts, raw, sizes = zip(*map(self._known(set(tokens)).__getitem__, tokens), strict=True)
+            n += sum(sizes)
+            ids.update(sep + ",".join(texts).encode())
+            decoded.update(b"".join(raw))
             sep = b","
         return n, ids.hexdigest(), decoded.hexdigest()
 
