@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Bytes, about, of the encodings that a worker keeps; letters of a pre-token that is worth it; pre-tokens taken at once.
-KEPT_BYTES, LONG, PART = 96 << 20, 64, 100_000
+KEPT_BYTES, LONG, PART = 96 << 20, 1024, 100_000
 #: What an entry takes beside its letters and ids.
 _ENTRY = 280
 _ROWS = 256

@@ -552,7 +552,9 @@ def test_bpe_on_odd_texts(reference):
     assert e.encode(long) == reference.encode_ordinary(long)
 
 
-def test_bpe_forgets_within_bounds(monkeypatch, reference):
+@pytest.mark.parametrize("long", [64, 1024])
+def test_bpe_forgets_within_bounds(monkeypatch, reference, long):
+    monkeypatch.setattr(bpe, "LONG", long)
     monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
     monkeypatch.setattr(bpe, "PART", 50)
     e, rng = bpe.Encoder(*bpe.vocabulary()), random.Random(7)
