@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Bytes, about, of the encodings that a worker keeps; letters of a pre-token that is worth it; pre-tokens taken at once.
-KEPT_BYTES, LONG, PART = 96 << 20, 1024, 100_000
+KEPT_BYTES, LONG, PART = 256 << 20, 1024, 100_000
 #: What an entry takes beside its letters and ids.
-_ENTRY = 280
+_ENTRY = 400
 _ROWS = 256
 
 
@@ -92,7 +92,10 @@ class Encoder:
                 a, b = by_bytes.get(key[:cut]), by_bytes.get(key[cut:])
                 if a is not None and b is not None:
                     self.joined[a, b] = rank
-        self.kept: dict[str, tuple[str, bytes, int]] = {}
+        # of kept pre-tokens: ids as text, the bytes that they decode to, their number
+        self.texts: dict[str, str] = {}
+        self.raws: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
         self.held, self.long = 0, []
 
     def merge(self, piece: bytes) -> list[int]:
@@ -131,37 +134,50 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[x] for x in ids])
 
-    def _known(self, tokens: set[str]) -> dict[str, tuple[str, bytes, int]]:
-        """For each token: its ids as text, the bytes that they decode to, their number. Good until the next call."""
-        kept = self.kept
+    def _keep(self, tokens: list[str]) -> None:
+        """Have the encoding of each token in texts, raws and sizes, until the next call."""
+        kept = self.texts, self.raws, self.sizes
         for t in self.long:
-            del kept[t]
+            for d in kept:
+                del d[t]
         self.long = []
         if self.held > KEPT_BYTES:
-            kept.clear()
+            for d in kept:
+                d.clear()
             self.held = 0
-        for t in tokens.difference(kept):
+        for t in set(tokens).difference(self.texts):
             ids = self.piece(t)
-            row = kept[t] = ",".join(map(str, ids)), self.decode(ids), len(ids)
+            text, raw = self.texts[t], self.raws[t] = ",".join(map(str, ids)), self.decode(ids)
+            self.sizes[t] = len(ids)
             if len(t) > LONG:
                 self.long.append(t)
             else:
-                self.held += _ENTRY + 2 * len(t) + len(row[0]) + len(row[1])
-        return kept
+                self.held += _ENTRY + 2 * len(t) + len(text) + len(raw)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
+    def digest(self, text: str | None, into: list[np.ndarray] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes; the ids themselves
+        are appended to into."""
         n, ids, decoded, sep = 0, hashlib.sha256(), hashlib.sha256(), b""
+        parts = [np.zeros(0, np.int32)]
         for tokens in self._parts(text or ""):
-            texts, raw, sizes = zip(*map(self._known(set(tokens)).__getitem__, tokens), strict=True)
-            n += sum(sizes)
-            ids.update(sep + ",".join(texts).encode())
-            decoded.update(b"".join(raw))
+            self._keep(tokens)
+            joined = ",".join(map(self.texts.__getitem__, tokens))
+            n += joined.count(",") + 1
+            ids.update(sep + joined.encode())
+            decoded.update(b"".join(map(self.raws.__getitem__, tokens)))
             sep = b","
+            if into is not None:
+                parts.append(np.fromstring(joined, dtype=np.int32, sep=","))
+        if into is not None:
+            into.append(np.concatenate(parts))
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def count(self, text: str | None) -> int:
-        return sum(sum([known[t][2] for t in tokens]) for tokens in self._parts(text or "") for known in [self._known(set(tokens))])
+        n = 0
+        for tokens in self._parts(text or ""):
+            self._keep(tokens)
+            n += sum(map(self.sizes.__getitem__, tokens))
+        return n
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text, in lists of bounded length."""
@@ -216,11 +232,9 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, pattern: str |
         fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType())))
 
     def row(texts):
-        e = _opened(path, pattern)
-        out = list(zip(*[e.digest(t) for t in texts], strict=True))
-        if with_ids:
-            out.append([np.array([int(x) for part in e._parts(t or "") for known in [e._known(set(part))] for w in part for x in known[w][0].split(",")], dtype=np.int32) for t in texts])
-        return out
+        e, ids = _opened(path, pattern), [] if with_ids else None
+        out = list(zip(*[e.digest(t, ids) for t in texts], strict=True))
+        return [*out, ids] if with_ids else out
 
     return _with_columns(docs, text_col, fields, row)
 

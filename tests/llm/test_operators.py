@@ -563,7 +563,7 @@ def test_bpe_forgets_within_bounds(monkeypatch, reference, long):
         ids = reference.encode_ordinary(t)
         want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()
         assert e.digest(t) == want and e.count(t) == len(ids)
-        assert sum(map(len, e.kept)) <= 40_000
+        assert sum(map(len, e.texts)) <= 40_000 and e.texts.keys() == e.raws.keys() == e.sizes.keys()
 
 
 def test_perfect_hash_is_minimal():
