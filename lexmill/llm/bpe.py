@@ -34,12 +34,13 @@ _ROWS = 256
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: n keys to 0..n-1. Each key falls into one of n/4 buckets by the low half of
-    its hash; buckets, the largest first, take the first seed that sends all their keys to free slots."""
+    """Minimal perfect hash of byte strings: n keys to 0..n-1. Each key falls into one of n/2 buckets by its hash; buckets,
+    the largest first, take the first seed that sends all their keys to free slots. A bucket of one key, of which there are
+    many and which come last, names a free slot itself, as -1 less the slot, rather than try seeds on a nearly full table."""
 
     def __init__(self, keys: list[bytes]):
         n = self.size = len(keys)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)
         self.seeds = np.zeros(self.buckets, np.int64)
         self.keys: list[bytes] = [b""] * n
         self.values = np.zeros(n, np.int64)
@@ -47,11 +48,14 @@ class PerfectHash:
         for i, key in enumerate(keys):
             h = xxhash.xxh64_intdigest(key)
             groups[h % self.buckets].append((h, i))
-        taken = bytearray(n)
+        taken, free = bytearray(n), 0
         for b in sorted(range(self.buckets), key=lambda b: -len(groups[b])):
             if not groups[b]:
                 break
             seed = 0
+            if len(groups[b]) == 1:
+                free = taken.index(0, free)
+                seed = -1 - free
             while True:
                 slots = [self._slot(h, seed) for h, _ in groups[b]]
                 if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
@@ -63,6 +67,8 @@ class PerfectHash:
         self.seeds, self.values = self.seeds.tolist(), self.values.tolist()
 
     def _slot(self, h: int, seed: int) -> int:
+        if seed < 0:
+            return -1 - seed
         x = (h ^ (seed * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
         return (x ^ (x >> 32)) % self.size
