@@ -1,8 +1,14 @@
-"""Near-dedup of documents by the Jaccard similarity of their sets of word shingles, checked exactly.
+"""Near-dedup of documents by the Jaccard similarity of their sets of word shingles: candidates by SimHash and its
+hierarchical index, each then checked exactly.
 
-SimHash can't serve here: texts of similarity 0.8 differ in about 10 of 64 bits, up to 20, and no mask index prunes at
-that bound. Candidates are sets that agree in a band of `ROWS` minima of `BANDS` bands, which a pair at 0.8 fails to do
-with a chance of 5e-8 (less for closer pairs). Each candidate pair is then decided on the whole sets.
+Two sets' fingerprints differ in a share of their bits that follows from their angle: 0.15 at a similarity of 0.8. In 64
+bits that is 10, up to 20, where unlike texts come as near, so a set has one of `WORDS` times 64 here. The upper nodes of
+the index are masked bit patterns: a mask is a choice of bits, and all sets with the same bits under it share a node, dealt
+out by shuffle. There are as many masks as it takes to miss a pair of the asked similarity with a chance of `MISS` (less for
+closer pairs). Inside a node those sets are linked that differ in no more of their first `COMPARED` words than such a pair
+does (`bound`): a large node by its Gray-order tree, a small one row by row. Only a spanning forest of the links leaves a
+task. Sets of up to `SHORT` shingles, whose fingerprints are coarse, also meet by all that leave one shingle out, which at
+0.8 loses none. What is linked, and linked by others, is a bucket; within it each pair is decided on the whole sets.
 
 A document goes if a compared earlier one is similar enough; of two similar documents at least one goes. Earlier means: by
 id (null last), then by a hash of the text. Buckets of up to `SMALL` sets compare all pairs. In a larger one all pairs
@@ -19,17 +25,28 @@ all; of rows with equal id and text one stays; rows that share an id but no text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import acos, ceil, exp, lgamma, log, log2, pi, sqrt
+from operator import xor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import simhash
+from lexmill.llm.components import Forest, components
 from lexmill.llm.storage import column_named, written
 
-BANDS, ROWS = 32, 4
+#: Words of a fingerprint, and those of them that are compared within a node.
+WORDS, COMPARED = 8, 4
+#: Bits under a mask at least; they grow with the table so that a node keeps about NODE_ROWS rows. Nodes over TREE take a tree.
+LEAST_BITS, NODE_ROWS, TREE = 10, 4096, 1024
+MISS = 1e-5
+SHORT = 8
 SMALL = 16
 #: About as many sets of a bucket vote for its centre.
 VOTES = 32
@@ -37,11 +54,7 @@ VOTES = 32
 STEPS = 8
 #: Far below the gap between any two sums of differences and shares.
 EPS = 1e-6
-#: Shingles that are permuted at once, whatever the length of a text.
-CHUNK = 16_384
-_RNG = np.random.default_rng(7)
-_TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_PLUS = np.random.default_rng(7).integers(0, 2**63, WORDS, dtype=np.uint64)
 SET = ["s1", "s2"]
 
 
@@ -59,32 +72,151 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """A signed long for each band; none for an empty set."""
-    if not len(h):
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, as words of 64 bits: a bit is set if over half the shingles set it."""
+    total = np.zeros(WORDS * 64, np.int64)
+    for k in range(0, len(h), 255):  # as many as a byte counts
+        z = h[k : k + 255, None] + _PLUS
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        total += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h)).view(np.uint64)
+
+
+def short_keys(h: np.ndarray) -> list[int]:
+    """Of a set of few shingles, keys that it shares with each set that has one more or one less."""
+    if not 0 < len(h) <= SHORT:
         return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(h), CHUNK):
-        part = h[k : k + CHUNK]
-        for j in range(BANDS * ROWS):
-            least[j] = min(least[j], (part * _TIMES[j] + _PLUS[j]).min())
-    return [xxhash.xxh64_intdigest(least[j * ROWS : (j + 1) * ROWS].tobytes(), j) - 2**63 for j in range(BANDS)]
+    mixed = [xxhash.xxh64_intdigest(x.tobytes(), 3) for x in h]
+    whole = reduce(xor, mixed)
+    return [(k ^ whole) - 2**63 for k in (0, *mixed)]
+
+
+def _differing(similarity: float) -> float:
+    """The chance that a bit differs between two sets of that similarity: the angle between them; of sets of one size, for
+    which it is widest."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def _choose(n: int, k: int) -> float:
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+
+def masks(similarity: float, width: int) -> np.ndarray:
+    """Places of the bits under each mask of `width` bits: as many masks as it takes to miss a pair of that similarity with a
+    chance of MISS."""
+    bits, q = WORDS * 64, max(_differing(similarity), 1e-9)
+    d = range(bits - width + 1)
+    chance = np.array([exp(_choose(bits, k) + k * log(q) + (bits - k) * log(1 - q)) for k in d])
+    none = np.array([1 - exp(_choose(bits - k, width) - _choose(bits, width)) for k in d])
+    count = 1
+    while (chance * none**count).sum() > MISS:
+        count += 1
+    rng = np.random.default_rng(11)
+    return np.array([rng.choice(bits, width, replace=False) for _ in range(count)])
+
+
+def bound(similarity: float) -> int:
+    """Bits of the compared words in which two sets of that similarity differ at most, but for a chance of 1e-7."""
+    bits, q = COMPARED * 64, _differing(similarity)
+    return ceil(bits * q + 5.8 * sqrt(bits * q * (1 - q)))
 
 
 def _sketch(text: Column, width: int) -> Column:
-    @F.pandas_udf("s1 long, s2 long, n long, keys array<long>")
+    @F.pandas_udf("s1 long, s2 long, n long, fp array<long>, short array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for t in texts:
                 h = shingles(t, width)
                 raw = h.tobytes()
-                out.append((xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63, len(h), band_keys(h)))
-            yield pd.DataFrame(out, columns=["s1", "s2", "n", "keys"])
+                out.append((xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63, len(h), fingerprint(h).view(np.int64), short_keys(h)))
+            yield pd.DataFrame(out, columns=["s1", "s2", "n", "fp", "short"])
 
     return of(text)
 
 
+def _nodes(fp: Column, places: np.ndarray) -> Column:
+    """The upper nodes of a fingerprint: numbers made of the mask and the bits under it."""
+    value = 1 << np.arange(places.shape[1], dtype=np.int64)
+    first = np.arange(len(places), dtype=np.int64) << places.shape[1]
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for fps in batches:
+            out = []
+            for k in range(0, len(fps), 1024):
+                words = np.array(fps.iloc[k : k + 1024].tolist(), np.int64).reshape(-1, WORDS)
+                out += list(np.unpackbits(words.view(np.uint8), axis=1)[:, places] @ value + first)
+            yield pd.Series(out, dtype=object)
+
+    return of(fp)
+
+
+def link_rows(node: np.ndarray, fps: np.ndarray, bits: int) -> Forest:
+    """Links among rows sorted by node: of the same node, and at most `bits` apart. Nodes of over `TREE` rows take their
+    Gray-order tree; in the others, each row meets the one that is 1, 2, ... rows on, over all nodes at once."""
+    forest = Forest(len(node))
+    starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    sizes = np.diff(np.append(starts, len(node)))
+    for s, k in zip(starts[sizes > TREE].tolist(), sizes[sizes > TREE].tolist(), strict=True):
+        same = np.unique(fps[s : s + k], axis=0, return_inverse=True, return_index=True)
+        own, root = simhash.link_node(fps[s : s + k][same[1]], bits).spanning()
+        forest.link(np.arange(s, s + k), s + same[1][same[2].reshape(-1)])
+        forest.link(s + same[1][own], s + same[1][root])
+    rank = np.flatnonzero(sizes <= TREE)
+    rank = rank[np.argsort(-sizes[rank], kind="stable")]
+    sizes = sizes[rank]
+    ends = np.cumsum(sizes)
+    rows = np.repeat(starts[rank] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    of, words = np.repeat(np.arange(len(rank)), sizes), fps[rows].T.copy()
+    for d in range(1, sizes[0] if len(sizes) else 0):
+        m = ends[np.searchsorted(-sizes, -d) - 1]  # rows of the nodes that have more than d
+        apart = np.zeros(m - d, np.uint16)
+        for w in words:
+            apart += np.bitwise_count(w[: m - d] ^ w[d:m])
+        hit = np.flatnonzero((apart <= bits) & (of[: m - d] == of[d:m]))
+        if len(hit):
+            forest.link(rows[hit], rows[hit + d])
+    return forest
+
+
+def _link_nodes(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, s1, words) sorted by node -> (u, v): links among the s1 whose components are those of all pairs of a
+    node that are at most `bits` apart. The last node of a batch waits for the next one."""
+
+    def work(columns: list[np.ndarray]) -> pa.RecordBatch:
+        own, root = link_rows(columns[0], np.stack(columns[2:], axis=1).view(np.uint64), bits).spanning()
+        return pa.record_batch([columns[1][own], columns[1][root]], names=["u", "v"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * (2 + COMPARED)
+        for b in batches:
+            held = [np.concatenate((h, b.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
+            tail = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
+            if len(tail):
+                cut = tail[-1] + 1
+                yield work([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield work(held)
+
+    return linked
+
+
+def link_sets(groups: DataFrame, similarity: float) -> DataFrame:
+    """(s1, n, fp, short) -> (u, v): links between the s1, of whose components each holds all sets that are similar to one of it."""
+    width = max(LEAST_BITS, ceil(log2(max(1, groups.count()) / NODE_ROWS)))
+    places = masks(similarity, width)
+    words = [F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(COMPARED)]
+    rows = groups.where("n > 0").select("s1", *words, _nodes(F.col("fp"), places).alias("nodes")).select(F.explode("nodes").alias("node"), "s1", *[f"f{k}" for k in range(COMPARED)])
+    near = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_link_nodes(bound(similarity)), "u long, v long")
+    short = groups.select("s1", F.explode("short").alias("key"))
+    least = short.groupBy("key").agg(F.min("s1").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return near.unionByName(short.join(least, "key").where("s1 <> v").select(F.col("s1").alias("u"), "v"))
+
+
 def _set(text: Column, width: int) -> Column:
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -153,8 +285,9 @@ def _by_difference(rest: DataFrame) -> DataFrame:
 
 def _near_sets(rows: DataFrame, groups: DataFrame, width: int, similarity: float) -> DataFrame:
     """(s1, s2) of the sets that go."""
-    keyed = groups.select(*SET, "ord", "n", F.lit(0.0).alias("e"), F.lit(True).alias("low"), F.explode("keys").alias("k"))
-    size = keyed.groupBy("k").agg(F.count("*").alias("c"), F.count("*").alias("lows")).where("c > 1")
+    linked = written(components(link_sets(groups, similarity)), "linked")
+    keyed = groups.select(*SET, "ord", "n", F.lit(0.0).alias("e"), F.lit(True).alias("low")).join(linked, F.col("s1") == F.col("node")).withColumnRenamed("root", "k").drop("node")
+    size = keyed.groupBy("k").agg(F.count("*").alias("c"), F.count("*").alias("lows"))
     active = written(keyed.join(size, "k"), "buckets")
     of = active.select(*SET, F.col("ord.doc_id").alias("of_id"), F.col("ord.th").alias("of_th")).distinct()
     texts = rows.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))).select(*SET, "text").dropDuplicates(SET)
@@ -196,7 +329,7 @@ def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     sketched = written(rows.select("doc_id", "th", _sketch(F.col("text"), width).alias("s")).select("doc_id", "th", "s.*"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    groups = written(sketched.groupBy(*SET).agg(F.min(order).alias("ord"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "groups")
+    groups = written(sketched.groupBy(*SET).agg(F.min(order).alias("ord"), *[F.any_value(c).alias(c) for c in ("n", "fp", "short")]), "groups")
     kept = groups.join(_near_sets(rows, groups, width, similarity), SET, "left_anti")
     kept = written(kept.select(F.col("ord.doc_id").alias("of_id"), F.col("ord.th").alias("of_th")), "kept")
     th = column_named(docs, "th")

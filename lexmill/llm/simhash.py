@@ -74,6 +74,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(x: np.ndarray) -> np.ndarray:
+    """Order of fingerprints of 64 bits, or of rows of them, by their place in the reflected Gray code."""
+    if x.ndim == 1:
+        return np.argsort(gray_rank(x), kind="stable")
+    ranks, odd = [], np.uint64(0)
+    for word in x.T:
+        ranks.append(gray_rank(word) ^ odd)
+        odd = np.where(ranks[-1] & np.uint64(1), np.uint64(2**64 - 1), np.uint64(0))
+    return np.lexsort(ranks[::-1])
+
+
 def _mask_keys(fp: Column, blocks: list[int], tag: int) -> Column:
     """The six upper nodes of a fingerprint: a number for the mask, and the bits under it."""
     pairs = [sum(b) for b in combinations(blocks, 2)]
@@ -91,10 +102,11 @@ def _narrow(mask: int) -> list[int]:
 
 
 def link_node(fps: np.ndarray, bits: int = MAX_BITS) -> Forest:
-    """Links among the distinct uint64 fingerprints of one upper node, by a self-join of its Gray-order tree. Pairs of
-    nodes wait on a stack and are taken in blocks, so that memory stays bounded; a pair whose members are all in one
-    component already is dropped."""
-    order = np.argsort(gray_rank(fps), kind="stable")
+    """Links among the distinct fingerprints of one upper node, uint64 or rows of them, by a self-join of its Gray-order
+    tree. Pairs of nodes wait on a stack and are taken in blocks, so that memory stays bounded; a pair whose members are
+    all in one component already is dropped."""
+    count = np.bitwise_count if fps.ndim == 1 else lambda v: np.bitwise_count(v).sum(axis=-1, dtype=np.int64)
+    order = gray_order(fps)
     x, n = fps[order], len(fps)
     forest = Forest(n)
     starts, levels = np.arange(0, n, LEAF), []
@@ -114,7 +126,7 @@ def link_node(fps: np.ndarray, bits: int = MAX_BITS) -> Forest:
             stack += [(level, a[k : k + 4096], b[k : k + 4096]) for k in range(0, len(a), 4096)]
             continue
         shared, value, _ = levels[level]
-        near = np.bitwise_count((value[a] ^ value[b]) & shared[a] & shared[b]) <= bits
+        near = count((value[a] ^ value[b]) & shared[a] & shared[b]) <= bits
         a, b = a[near], b[near]
         if not len(a):
             continue
@@ -133,7 +145,7 @@ def link_node(fps: np.ndarray, bits: int = MAX_BITS) -> Forest:
             if not len(i):
                 continue
             xi, xj = x[np.minimum(i, n - 1)], x[np.minimum(j, n - 1)]
-            hit = (np.bitwise_count(xi[:, :, None] ^ xj[:, None, :]) <= bits) & (i[:, :, None] < j[:, None, :]) & (j < n)[:, None, :]
+            hit = (count(xi[:, :, None] ^ xj[:, None, :]) <= bits) & (i[:, :, None] < j[:, None, :]) & (j < n)[:, None, :]
             r, s, t = np.nonzero(hit)
             forest.link(i[r, s], j[r, t])
     back = np.empty(n, np.int64)
