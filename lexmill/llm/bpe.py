@@ -26,6 +26,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from lexmill.llm.storage import give_back
+
 #: Bytes, about, of the encodings that a worker keeps; letters of a pre-token that is worth it; pre-tokens taken at once.
 KEPT_BYTES, LONG, PART = 256 << 20, 1024, 100_000
 #: What an entry takes beside its letters and ids.
@@ -160,6 +162,12 @@ class Encoder:
             else:
                 self.held += _ENTRY + 2 * len(t) + len(text) + len(raw)
 
+    def forget(self) -> None:
+        for d in (self.texts, self.raws, self.sizes):
+            d.clear()
+        self.long.clear()
+        self.held = 0
+
     def digest(self, text: str | None, into: list[np.ndarray] | None = None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes; the ids themselves
         are appended to into."""
@@ -211,8 +219,9 @@ def _opened(path: str | None, pattern: str | None) -> Encoder:
     return encoder(path or where, pattern or how)
 
 
-def _with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], row) -> DataFrame:
-    """docs without columns of the fields' names, plus the fields; row makes an iterable of value lists from texts."""
+def _with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], row, done=lambda: None) -> DataFrame:
+    """docs without columns of the fields' names, plus the fields; row makes an iterable of value lists from texts, done is
+    called at the end of a task."""
     made = {f.name.lower() for f in fields}
     kept = [f for f in docs.schema.fields if f.name.lower() not in made]
     schema = T.StructType([*kept, *fields])
@@ -226,6 +235,9 @@ def _with_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], r
                 part = batch.slice(s, _ROWS)
                 values = row(part.column(0).to_pylist())
                 yield pa.record_batch([*part.columns[1:], *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], names=[f.name for f in schema.fields])
+            batch = part = values = None
+        done()
+        give_back()
 
     text = docs[text_col].alias("__text")
     return docs.select(text, *[docs[f.name] for f in kept]).mapInArrow(of, schema)
@@ -242,7 +254,7 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, pattern: str |
         out = list(zip(*[e.digest(t, ids) for t in texts], strict=True))
         return [*out, ids] if with_ids else out
 
-    return _with_columns(docs, text_col, fields, row)
+    return _with_columns(docs, text_col, fields, row, lambda: _opened(path, pattern).forget())
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "token_ids", *, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -252,4 +264,4 @@ def decode_ids(rows: DataFrame, ids_col: str = "token_ids", *, path: str | None
 
 def count_tokens(docs: DataFrame, *, path: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with n_tokens."""
-    return _with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], lambda texts: [[_opened(path, pattern).count(t) for t in texts]])
+    return _with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], lambda texts: [[_opened(path, pattern).count(t) for t in texts]], lambda: _opened(path, pattern).forget())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.storage import written
+from lexmill.llm.storage import give_back, written
 
 ORDERS = (2, 3, 4)
 TRAIN_DOCS, MIN_RATE, MIN_COUNT, SHARE = 4000, 2e-5, 5, 0.5
@@ -171,6 +171,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if grams:
                 h, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(h)), h.view(np.int64), n.astype(np.int64)], names=["lang", "gram", "n"])
+        batch = langs = texts = grams = h = n = None
+    give_back()
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
@@ -209,6 +211,8 @@ def predict(docs: DataFrame, model: LanguageFilter, text: Column) -> DataFrame:
                 names += a
                 scores.append(b)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
+            texts = None
+        give_back()
 
     return docs.withColumn("__language", of(text)).select(*docs.columns, "__language.lang_pred", "__language.score")
 

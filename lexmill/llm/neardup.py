@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import simhash
 from lexmill.llm.components import Forest, components
-from lexmill.llm.storage import column_named, written
+from lexmill.llm.storage import column_named, give_back, written
 
 #: Words of a fingerprint, and those of them that are compared within a node.
 WORDS, COMPARED = 8, 4
@@ -133,6 +133,8 @@ def _sketch(text: Column, width: int) -> Column:
                 raw = h.tobytes()
                 out.append((xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63, len(h), fingerprint(h).view(np.int64), short_keys(h)))
             yield pd.DataFrame(out, columns=["s1", "s2", "n", "fp", "short"])
+            texts = out = None
+        give_back()
 
     return of(text)
 
@@ -150,6 +152,8 @@ def _nodes(fp: Column, places: np.ndarray) -> Column:
                 words = np.array(fps.iloc[k : k + 1024].tolist(), np.int64).reshape(-1, WORDS)
                 out += list(np.unpackbits(words.view(np.uint8), axis=1)[:, places] @ value + first)
             yield pd.Series(out, dtype=object)
+            fps = out = None
+        give_back()
 
     return of(fp)
 
@@ -201,6 +205,8 @@ def _link_nodes(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 held = [h[cut:] for h in held]
         if len(held[0]):
             yield work(held)
+        b = held = None
+        give_back()
 
     return linked
 
@@ -222,6 +228,8 @@ def _set(text: Column, width: int) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, width).view(np.int64) for t in texts])
+            texts = None
+        give_back()
 
     return of(text)
 

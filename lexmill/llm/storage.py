@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -45,6 +47,16 @@ def _remove_all() -> None:
             return
 
 
+def give_back() -> None:
+    """In a Python worker, at the end of a task: free memory goes back to the system. Spark keeps workers for later tasks,
+    more than an executor has cores, and what each took at its peak would stay beside the JVM through stages without Python."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
 def column_named(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet, for helper columns beside whatever the caller carries."""
     taken, name = {c.lower() for c in df.columns}, f"__{base}"
