@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.storage import written
+from lexmill.llm.storage import give_back, written
 
 #: Rounds of drawing again after which the space of an entity's shape must be full.
 ROUNDS = 200
@@ -274,6 +274,8 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row[1] += told == "f"
                 row[2] += told == "m"
         yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["th", "kind", "name", "mention", "f", "m"])
+        b = rows = None
+    give_back()
 
 
 def redrawn(mentions: DataFrame, key: bytes) -> DataFrame:
@@ -283,6 +285,8 @@ def redrawn(mentions: DataFrame, key: bytes) -> DataFrame:
         for b in batches:
             genders = [None if g is None or pd.isna(g) else g for g in b.gender]
             yield b.assign(made=[canonical(k, surrogate(key, k, m, d, g)) for k, m, d, g in zip(b.kind, b.mention, b.draw, genders, strict=True)])
+            b = genders = None
+        give_back()
 
     schema = "kind string, name string, mention string, gender string, draw int, made string"
     table = mentions.groupBy("kind", "name").agg(F.min("mention").alias("mention"), F.sum("f").alias("f"), F.sum("m").alias("m"))
@@ -322,6 +326,8 @@ def replace_documents(docs: DataFrame, key: bytes, *, text_col: str = "text") ->
         for texts, draws_ in batches:
             out = [replace(key, t, {} if d is None else {(x["kind"], x["name"]): (x["draw"], x["gender"]) for x in d}) for t, d in zip(texts, draws_, strict=True)]
             yield pd.DataFrame(out, columns=["text", "n", "kinds"])
+            texts = draws_ = out = None
+        give_back()
 
     done = rows.withColumn("made", made(text, F.col("draws")))
     return done.select(*[(F.col("made.text") if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(keep)], F.col("made.n").alias("n_entities"), F.col("made.kinds").alias("entity_types"))
