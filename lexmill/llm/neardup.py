@@ -16,8 +16,10 @@ would be the square of a group of copies, so its sets are held against a centre,
 them have. Two sets differ by no more than their differences from the centre together, so sets near the centre are
 similar without a look at each other: all go but the earliest. That one is compared with all the rest. Sets further out
 can only be similar if some of their differences are the same ones, so pairs come from an equi-join on the rarest
-differences (a prefix filter: how many must agree follows from how far out the two are). Differences that many share
-are buckets of their own and take another round. Which centre is taken changes the work, never what is found.
+differences (a prefix filter: how many must agree follows from how far out the two are, and from their sizes, which the
+similarity bounds too). Differences that many share are buckets of their own and take another round. Which centre is
+taken changes the work, never what is found. Before the sets of a pair are read, their parity bits sort out those that
+must differ in too many shingles, again without a loss.
 
 Defined cases: texts without words are copies of each other; fewer words than a shingle needs give one shingle of them
 all; of rows with equal id and text one stays; rows that share an id but no text are documents of their own.
@@ -28,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from math import acos, ceil, exp, lgamma, log, log2, pi, sqrt
-from operator import xor
+from operator import add, xor
 
 import numpy as np
 import pandas as pd
@@ -52,6 +54,10 @@ SMALL = 16
 VOTES = 32
 #: Steps of distance from the centre by which sets are compared with the earliest that are that much nearer.
 STEPS = 8
+#: Words of a set's parity bits, by which pairs are sorted out before their sets are read.
+PARITY = 32
+#: Places by which rows are told that can't be among those asked for, so that their texts needn't move; 64 to a row.
+PLACES = 2**24
 #: Far below the gap between any two sums of differences and shares.
 EPS = 1e-6
 _PLUS = np.random.default_rng(7).integers(0, 2**63, WORDS, dtype=np.uint64)
@@ -93,6 +99,12 @@ def short_keys(h: np.ndarray) -> list[int]:
     return [(k ^ whole) - 2**63 for k in (0, *mixed)]
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles falls to each. Two sets differ in as many shingles at least as these
+    differ in bits, as one shingle turns one bit."""
+    return np.packbits(np.bincount((h % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64).astype(np.uint8) & 1).view(np.int64)
+
+
 def _differing(similarity: float) -> float:
     """The chance that a bit differs between two sets of that similarity: the angle between them; of sets of one size, for
     which it is widest."""
@@ -224,16 +236,26 @@ def link_sets(groups: DataFrame, similarity: float) -> DataFrame:
 
 
 def _set(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("set array<long>, parity array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([shingles(t, width).view(np.int64) for t in texts])
-            texts = None
+            sets = [shingles(t, width) for t in texts]
+            yield pd.DataFrame({"set": [h.view(np.int64) for h in sets], "parity": [parity(h) for h in sets]})
+            texts = sets = None
         give_back()
 
     return of(text)
 
 
+def _asked(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows (doc_id, th, ...) that of (of_id, of_th, ...) asks for, with its columns. Bits of bounded number sort out
+    most of the others first, where they are; which rows are found is left to the join."""
+    at = lambda *key: F.pmod(F.xxhash64(*key), F.lit(PLACES))
+    marks = of.select(at("of_id", "of_th").alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("marks"))
+    some = rows.withColumn("at", at("doc_id", "th")).join(F.broadcast(marks), F.expr("at div 64 = word")).where("shiftright(marks, cast(at % 64 as int)) & 1 = 1")
+    return some.drop("at", "word", "marks").join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(s1, s2, o1, o2) -> (s1, s2) of those whose sets are as similar as asked."""
     a = sets.select(*SET, F.col("set").alias("a"))
@@ -274,14 +296,19 @@ def _from_centre(active: DataFrame, sets: DataFrame, share: float, salt: int) ->
 def _by_difference(rest: DataFrame) -> DataFrame:
     """Buckets (k, s1, s2, ord, n, e, low, c, lows) of sets outside their centre's reach, one for each difference that
     can tell a similar pair. low marks those that need no look at differences beyond this as the nearer of a pair."""
-    least = rest.groupBy("g").agg(F.min("e").alias("least"))
-    each = rest.join(least, "g").select("g", *SET, "ord", "n", "e", "least", F.size("d").alias("size"), F.explode("d").alias("x"))
+    each = rest.select("g", *SET, F.explode("d").alias("x"))
     shared = each.groupBy("g", "x").agg(F.count("*").alias("f")).where("f > 1")
-    of = [F.any_value(c).alias(c) for c in ("ord", "n", "e", "least", "size")]
-    ranked = each.join(shared, ["g", "x"]).groupBy("g", *SET).agg(*of, F.array_sort(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    ranked = each.join(shared, ["g", "x"]).groupBy("g", *SET).agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    least = rest.groupBy("g").agg(F.min("e").alias("least"))
+    ranked = ranked.join(rest.select("g", *SET, "ord", "n", "e", F.size("d").alias("size")), ["g", *SET]).join(least, "g")
+    # what two similar sets share of their differences: half the sum of their e at least, and all of one's but those that
+    # tell the two apart, of which there are `apart` at most, as the other's size is within the similarity too
+    share = (F.col("size") - F.col("e")) / F.col("n")
+    apart = 2 * (F.col("size") - F.col("e")) / (1 - share)
+    common = F.greatest((F.col("e") + F.col("least")) / 2, F.col("size") - apart)
     # differences that no other has are the rarest and come before those in xs
     # so many of the rarest that a set near enough shares one of them; cut out before they become rows
-    rarest = F.slice("xs", F.lit(1), F.greatest(F.lit(0), F.size("xs") + 1 - F.ceil((F.col("e") + F.col("least")) / 2 - EPS).cast("int")))
+    rarest = F.slice("xs", F.lit(1), F.greatest(F.lit(0), F.size("xs") + 1 - F.ceil(common - EPS).cast("int")))
     ranked = ranked.select("*", F.posexplode(rarest).alias("pos", "at")).withColumn("must", F.size("xs") - F.col("pos"))
     low = (F.col("must") >= F.ceil(F.col("e") - EPS)).alias("low")
     dealt = written(ranked.select(F.xxhash64("g", "at.x").alias("k"), "g", *SET, "ord", "n", "e", low), "dealt")
@@ -299,8 +326,8 @@ def _near_sets(rows: DataFrame, groups: DataFrame, width: int, similarity: float
     size = keyed.groupBy("k").agg(F.count("*").alias("c"), F.count("*").alias("lows"))
     active = written(keyed.join(size, "k"), "buckets")
     of = active.select(*SET, F.col("ord.doc_id").alias("of_id"), F.col("ord.th").alias("of_th")).distinct()
-    texts = rows.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))).select(*SET, "text").dropDuplicates(SET)
-    sets = written(texts.select(*SET, _set(F.col("text"), width).alias("set")), "sets")
+    texts = _asked(rows, of).select(*SET, "text").dropDuplicates(SET)
+    sets = written(texts.select(*SET, _set(F.col("text"), width).alias("of")).select(*SET, "of.*"), "sets")
 
     # J >= t is: sets of n and m shingles differ in at most (n + m) * (1 - t) / (1 + t)
     share = (1 - similarity) / (1 + similarity)
@@ -322,11 +349,13 @@ def _near_sets(rows: DataFrame, groups: DataFrame, width: int, similarity: float
         active = left.where(~within)
     if gone is not None:
         small = written(small.join(gone.distinct(), SET, "left_anti"), "small")
-    a = small.where("low").select("k", "ord", *SET, "n", "e")
-    b = small.select("k", F.col("ord").alias("o"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("m"), F.col("e").alias("o_e"))
+    small = small.join(sets.select(*SET, "parity"), SET)
+    a = small.where("low").select("k", "ord", *SET, "n", "e", "parity")
+    b = small.select("k", F.col("ord").alias("o"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("n").alias("m"), F.col("e").alias("o_e"), F.col("parity").alias("o_parity"))
+    odd = reduce(add, [F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("o_parity", F.lit(k)))) for k in range(PARITY)])
     fits = (F.col("n") >= F.lit(similarity) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(similarity) * F.col("n") - 1e-9)
     nearer = (F.col("e") < F.col("o_e")) | (F.col("e") == F.col("o_e")) & (F.col("ord") < F.col("o"))
-    pairs = a.join(b, "k").where(nearer & fits)
+    pairs = a.join(b, "k").where(nearer & fits & (odd <= share * (F.col("n") + F.col("m")) + EPS))
     goes, stays = F.struct(*SET), F.struct(F.col("o1").alias("s1"), F.col("o2").alias("s2"))
     pairs = pairs.select(F.when(F.col("ord") > F.col("o"), F.struct(goes.alias("a"), stays.alias("b"))).otherwise(F.struct(stays.alias("a"), goes.alias("b"))).alias("p"))
     near = _similar(pairs.select("p.a.s1", "p.a.s2", F.col("p.b.s1").alias("o1"), F.col("p.b.s2").alias("o2")), sets, similarity)
