@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import candidates as C
+from lexmill.operators import corpus as K
 from lexmill.operators import engine as E
 from lexmill.operators import evaluation as V
 from lexmill.sources.shared import perhaps_in
@@ -51,3 +52,9 @@ def test_metrics_by_word_are_those_of_occurrences(spark):
         fast = V.metrics_by_word(counts, V.items(bench), advice, flag)
         assert fast.columns == slow.columns and sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
     assert C.restore_case is V.restore_case and E.Engine.advice
+
+
+def test_sorts_of_tokens_are_not_put_together(spark):
+    docs = spark.createDataFrame([(k, "ого саҥа " * 3) for k in range(40)], "doc_id long, text string")
+    for rows in (K.token_rows(docs), engine(spark, [("оҕо", 9)]).occurrences(docs)):
+        assert rows.count() == 240 and rows.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
